@@ -38,6 +38,7 @@ from .textbatch import column_bytes, mix64, shingle_sets, slices
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 HOT = 50_000
+MOST_BLOCKS = 1 << 14
 FILTER_SLOTS = 1_048_573
 
 
@@ -83,10 +84,9 @@ def _add_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _prefixes(level: np.ndarray, blocks: np.ndarray, percent: int):
-    """Scan 2 with the sketch turned into frequency levels and block counts per bucket."""
-    token = pa.struct([("t", pa.int64()), ("s", pa.int32()), ("of", pa.int32())])
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("gkey", pa.binary()), ("prefix", pa.list_(token))])
+def _prefixes(level: np.ndarray, percent: int):
+    """Scan 2: each set's prefix in the order of the sketch's frequency levels, then of the hashes."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("gkey", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(frames):
@@ -102,41 +102,52 @@ def _prefixes(level: np.ndarray, blocks: np.ndarray, percent: int):
                 gkeys.append(hashlib.blake2b(x.tobytes(), digest_size=16, salt=len(s).to_bytes(8, "little")).digest())
                 ends.append(ends[-1] + p)
                 sigs.append(_signature(s))
-            flat = np.concatenate(toks)
-            of = blocks[_bucket(flat)]
-            seed = np.repeat(np.frombuffer(b"".join(g[:8] for g in gkeys), np.uint64), np.diff(ends))
-            salt = (mix64(flat ^ seed) % of.astype(np.uint64)).astype(np.int32)
-            cells = pa.StructArray.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(of.astype(np.int32))], fields=list(token))
+            cells = pa.array(np.concatenate(toks).view(np.int64))
             yield pa.record_batch([ids.take(pa.array(keep)).cast(pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(sigs, pa.binary()), pa.array(gkeys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], schema=out)
 
     return run
 
 
-_LIST_COLS = ["t", "s", "of", "gid", "n", "pos"]
+def _postings(blocks: np.ndarray):
+    """groups(gid, n, prefix) -> one row per prefix shingle; ``blk`` packs (blocks of its list << 16) + its block, ``np`` (n << 32) + place."""
+    names = ["t", "blk", "gid", "np"]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                prefix = part.column("prefix")
+                sizes = np.diff(prefix.offsets.to_numpy())
+                t = prefix.flatten().to_numpy()
+                gid = np.repeat(part.column("gid").to_numpy(), sizes)
+                place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                of = blocks[_bucket(t.view(np.uint64))]
+                salt = mix64(mix64(t.view(np.uint64)) ^ gid.view(np.uint64)) % of.astype(np.uint64)
+                blk = (of.astype(np.int64) << 16) + salt.astype(np.int64)
+                yield pa.record_batch([pa.array(t), pa.array(blk.astype(np.int32)), pa.array(gid), pa.array((np.repeat(part.column("n").to_numpy(), sizes) << 32) + place)], names=names)
+
+    return run
 
 
 def _lists(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (t, s): those that share their list, each with the next group of its list. Holds one row."""
-    names = [*_LIST_COLS, "next_gid", "next_n", "next_pos"]
-    held = None
+    """Rows sorted by (t, blk): those that share their list, each with the next group of its list. Holds one row."""
+    names = ["t", "blk", "gid", "np", "next_gid", "next_np"]
+    held, before = None, False
 
     def out(rows: np.ndarray, nxt: np.ndarray, near: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
-        keep = shared | near | (rows[2] > 1)
+        keep = shared | near | (rows[1] >> 16 > 1)
         r, x, dead = rows[:, keep], nxt[:, keep], ~near[keep]
-        cols = [pa.array(c) for c in r] + [pa.array(c, mask=dead) for c in x[3:]]
-        return pa.record_batch(cols, names=names)
+        return pa.record_batch([pa.array(c) for c in r] + [pa.array(c, mask=dead) for c in x[2:]], names=names)
 
-    before = False
     for batch in frames:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _LIST_COLS])
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names[:4]])
         if held is not None:
             rows = np.concatenate([held, rows], 1)
         if rows.shape[1] < 2:
             held = rows if rows.shape[1] else held
             continue
         near = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
-        shared = np.concatenate([[before], near[:-1]])
-        yield out(rows[:, :-1], rows[:, 1:], near, shared)
+        yield out(rows[:, :-1], rows[:, 1:], near, np.concatenate([[before], near[:-1]]))
         before, held = bool(near[-1]), rows[:, -1:]
     if held is not None:
         yield out(held, held, np.array([False]), np.array([before]))
@@ -172,8 +183,9 @@ def _verify(percent: int):
     return run
 
 
-def _filter_sql(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
-    """Size and position filters: the sets can still share enough after these places of a common shingle."""
+def _filter_sql(percent: int, x: str, y: str) -> str:
+    """Size and position filters on packed (n << 32) + place: enough can still be shared after these places of a common shingle."""
+    n1, n2, p1, p2 = f"({x} >> 32)", f"({y} >> 32)", f"({x} & 4294967295)", f"({y} & 4294967295)"
     return (f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND "
             f"{100 + percent} * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= {percent} * ({n1} + {n2})")
 
@@ -195,7 +207,7 @@ class JaccardJoin:
             total[c * CHUNK:(c + 1) * CHUNK] += np.frombuffer(z, np.int64)
         hot = HOT + 4 * int(np.median(total))
         level = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8)
-        return level, np.maximum(1, -(-total // hot) * (total > hot)).astype(np.int32)
+        return level, np.clip(-(-total // hot) * (total > hot), 1, MOST_BLOCKS).astype(np.int32)
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """Of pairs(a, b) of document ids, those whose whole sets link."""
@@ -205,7 +217,7 @@ class JaccardJoin:
         for w, m in bits.collect():  # a bitmap of fixed size
             slots[[w * 32 + i for i in range(32) if m >> i & 1]] = True
         sets = self.docs.mapInArrow(_holds(slots), "id long, shingles binary")
-        wanted = cut(sets.join(ids.select(F.col("a").alias("id")).distinct(), "id", "left_semi").distinct())
+        wanted = cut(sets.join(ids.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
         left = wanted.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         right = wanted.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long")
@@ -214,17 +226,17 @@ class JaccardJoin:
         scan = cut(self.docs.mapInArrow(_scan, "doc_id long, n long, sig binary, chunk int, counts binary"))
         level, blocks = self._frequency(scan)
         rows = scan.where("chunk is null").select("doc_id", "n", "sig")
-        prefixed = self.docs.where("doc_id is not null").mapInArrow(_prefixes(level, blocks, self.percent), "doc_id long, n long, sig binary, gkey binary, prefix array<struct<t:bigint,s:int,of:int>>")
-        classes = cut(prefixed.groupBy("gkey", "sig").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-        groups = classes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "p")).select("p.t", "p.s", "p.of", "gid", "n", F.col("pos").cast("long").alias("pos"))
-        members = classes.select("gkey", "cid", "sig").join(groups.where("members > 1").select("gkey", "gid"), "gkey").select("gid", "cid", F.xxhash64("sig").alias("o"))
-        members = cut(members)
+        prefixed = cut(self.docs.where("doc_id is not null").mapInArrow(_prefixes(level, self.percent), "doc_id long, n long, sig binary, gkey binary, prefix array<bigint>"))
+        groups = prefixed.groupBy("gkey").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        postings = groups.select("gid", "n", "prefix").mapInArrow(_postings(blocks), "t long, blk int, gid long, np long")
+        spread = postings.repartition("t", "blk").sortWithinPartitions("t", "blk", F.xxhash64("t", "gid"))
+        lists = cut(spread.mapInArrow(_lists, "t long, blk long, gid long, np long, next_gid long, next_np long"))
 
-        spread = postings.withColumn("o", F.xxhash64("t", "gid")).repartition("t", "s").sortWithinPartitions("t", "s", "o").drop("o")
-        lists = cut(spread.mapInArrow(_lists, "t long, s long, of long, gid long, n long, pos long, next_gid long, next_n long, next_pos long"))
+        classes = cut(prefixed.groupBy("gkey", "sig").agg(F.min("doc_id").alias("cid")))
+        shared = classes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count("*").alias("members")).where("members > 1").select("gkey", "gid")
+        members = cut(classes.join(shared, "gkey").select("gid", "cid"))
 
-        near = lists.where("next_gid is not null").where(_filter_sql(self.percent, "n", "pos", "next_n", "next_pos"))
+        near = lists.where("next_gid is not null").where(_filter_sql(self.percent, "np", "next_np"))
         first = near.select(F.least("gid", "next_gid").alias("a"), F.greatest("gid", "next_gid").alias("b"))
         inside = members.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
         links = self._linked(cut(first.union(inside).where("a <> b").distinct()))
@@ -232,17 +244,17 @@ class JaccardJoin:
 
         comp = lambda df, key: df.join(part.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", F.col(key)))
         # members of a group, as one list; groups of one need no row
-        own = comp(members.select("gid", "cid"), "cid")
-        seated = comp(lists.select(*_LIST_COLS), "gid").select(*_LIST_COLS, "component")
+        own = comp(members, "cid")
+        seated = comp(lists.select("t", "blk", "gid", "np"), "gid")
         spans = own.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         seated = seated.join(spans, "gid", "left").withColumn("lo", F.least(F.coalesce("lo", "component"), "component")).withColumn("hi", F.greatest(F.coalesce("hi", "component"), "component"))
         open_ = seated.groupBy("t").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("t")
         rest = cut(seated.join(open_, "t", "left_semi"))
-        dealt = rest.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("of") - 1).cast("int")))).withColumn("u", F.least("s", "j")).withColumn("v", F.greatest("s", "j"))
-        cols = ["gid", "n", "pos", "lo", "hi", "s"]
+        dealt = rest.withColumn("j", F.explode(F.expr("sequence(0L, (blk >> 16) - 1)"))).withColumn("s", F.expr("blk & 65535")).withColumn("u", F.least("s", "j")).withColumn("v", F.greatest("s", "j"))
+        cols = ["gid", "np", "lo", "hi"]
         left = dealt.where("s = u").select("t", "u", "v", *[F.col(c).alias(f"{c}1") for c in cols])
         right = dealt.where("s = v").select("t", "u", "v", *[F.col(c).alias(f"{c}2") for c in cols])
-        pairs = left.join(right, ["t", "u", "v"]).where("(u < v or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "n1", "pos1", "n2", "pos2"))
+        pairs = left.join(right, ["t", "u", "v"]).where("(u < v or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "np1", "np2"))
         pairs = cut(pairs.select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h")).distinct())
         # expand groups to members; inside a group of several components, its members meet too
         inner = spans.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
