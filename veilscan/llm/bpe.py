@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -22,7 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000
+#: Entries of a cache's generation; two generations are kept.
+CACHE = 250_000
+#: Lengths of the prefixes that pieces share.
+HEADS = (14, 11, 8, 6, 4)
+#: Chunks up to so many characters are remembered.
+REMEMBERED = 48
 
 
 def read_ranks(path: str) -> bytes:
@@ -37,6 +43,8 @@ def read_ranks(path: str) -> bytes:
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
+_ODD_SPACES = re.compile(r"\s | \s")
+
 
 class PrefixTable:
     """The last token of each prefix of one growing piece."""
@@ -48,19 +56,43 @@ class PrefixTable:
 
     def append(self, more: bytes) -> PrefixTable:
         """Extends the table; what it holds for shorter prefixes stays."""
-        ranks, longest, fits = self.bpe.ranks, self.bpe.longest, self.bpe.compatible
+        bpe = self.bpe
+        ranks, longest, pairs, fits = bpe.ranks.get, bpe.longest, bpe._pairs.get, bpe.compatible
         data, last = self.data, self.last
         start = len(data)
         data += more
         whole = bytes(data)
+        fresh = []
+        if not start:  # pieces that begin alike share the last tokens of their common prefixes
+            for k in HEADS:
+                if len(whole) > k:
+                    if (got := bpe._heads.get(whole[:k])) is not None:
+                        last += got
+                        start = k
+                        break
+                    fresh.append(k)
         for end in range(start + 1, len(whole) + 1):
-            for begin in range(max(0, end - longest), end):
-                t = ranks.get(whole[begin:end])
-                if t is not None and (fits(last[begin - 1], t) if begin else self.bpe.whole(t)):
+            # short tokens first: exactly one fits, so the order only saves time
+            for begin in range(end - 1, max(-1, end - longest - 1), -1):
+                t = ranks(whole[begin:end])
+                if t is None:
+                    continue
+                if begin:
+                    ok = pairs((last[begin - 1], t))
+                    if ok is None:
+                        ok = fits(last[begin - 1], t)
+                else:
+                    ok = bpe.whole(t)
+                if ok:
                     last.append(t)
                     break
             else:
                 raise ValueError("a byte has no token")
+        if fresh:
+            if len(bpe._heads) > CACHE:
+                bpe._heads.clear()
+            for k in fresh:
+                bpe._heads[whole[:k]] = tuple(last[:k])
         return self
 
     def ids(self, end: int | None = None) -> list[int]:
@@ -86,8 +118,9 @@ class BytePairEncoder:
         self.pattern = regex.compile(pattern)
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
         self._chunks: dict[str, tuple[int, ...]] = {}
+        self._heads: dict[bytes, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain lowest-rank-first merging of a short byte string; defines what is compatible."""
@@ -114,32 +147,27 @@ class BytePairEncoder:
             got = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return got
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> list[int]:
         """One pre-token. As in the tiktoken library, a piece that is itself a token is that token."""
-        got = self._pieces.get(text)
-        if got is None:
-            data = text.encode("utf-8", "surrogatepass")
-            t = self.ranks.get(data)
-            got = (t,) if t is not None else tuple(PrefixTable(self).append(data).ids())
-            if len(self._pieces) >= CACHE:
-                self._pieces.clear()
-            if len(text) <= 64:
-                self._pieces[text] = got
-        return got
+        data = text.encode("utf-8", "surrogatepass")
+        t = self.ranks.get(data)
+        return [t] if t is not None else PrefixTable(self).append(data).ids()
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        got = self._chunks.get(text)
+        got = self._chunks.get(text) or self._older.get(text)
         if got is None:
             got = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
-            if len(self._chunks) >= CACHE:
-                self._chunks.clear()
-            if len(text) <= 64:
-                self._chunks[text] = got
+        if len(text) <= REMEMBERED:
+            if len(self._chunks) >= CACHE:  # what was not used while this half filled up is forgotten
+                self._older, self._chunks = self._chunks, {}
+            self._chunks[text] = got
         return got
 
     def chunks(self, text: str) -> list[str]:
         """Cuts before single spaces between non-spaces, where no match of the pattern can cross."""
         words = text.split(" ")
+        if not _ODD_SPACES.search(text):
+            return [words[0], *[" " + w for w in words[1:]]]
         out, glue = [words[0]], not words[0] or words[0][-1].isspace()
         for w in words[1:]:
             if glue or not w or w[0].isspace():
@@ -151,8 +179,8 @@ class BytePairEncoder:
 
     def encode(self, text: str) -> array:
         """Token ids of a whole text, each match of the pattern encoded separately, no special tokens."""
-        cached = self._chunks.get
-        return array("I", chain.from_iterable([cached(c) or self.chunk(c) for c in self.chunks(text) if c]))
+        recent = self._chunks.get
+        return array("I", chain.from_iterable([recent(c) or self.chunk(c) for c in self.chunks(text)]))
 
     def edit(self, text: str, ids: array, start: int, end: int, new: str) -> tuple[str, array]:
         """Replaces text[start:end]; tokens of the chunks that stay are copied, not encoded again.
