@@ -6,12 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, nearest, ngram_join, quality_classifier, quality_rules, secrets
+from . import bpe, chat, html_extract, licences, mixing, nearest, ngram_join, quality_classifier, quality_rules, secrets
 from .runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Target shares of tokens by domain of the labels table.
+TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """labels(doc_id, quality, toxic) -> (doc_id, domain)."""
+    return labels.select("doc_id", F.expr("case when toxic = 1 then 'toxic' when quality = 0 then 'junk' when quality = 1 then 'clean' end").alias("domain"))
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, _ = mixing.mix(docs, domains(table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
+    shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)]
+    return rows.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -20,6 +36,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "licence_paragraphs")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -51,5 +71,5 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_nearest, op5_chat_format, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secrets, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_nearest, op4_licences, op5_chat_format, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secrets, op10_html_extract)}
 ORACLE_SQL: dict[str, str] = {}
