@@ -217,17 +217,17 @@ def encoder(data: bytes, pattern: str) -> BytePairEncoder:
     return _loaded[key]
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, ids: bool = True) -> DataFrame:
     """Encodes the whole text of every row; all columns of docs stay.
 
-    Adds token_ids array<int>; with ``digest`` instead n_tokens, ids_sha256
-    (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the
-    bytes that the ids decode to). Null text counts as empty: no tokens. Rows
-    are independent: no shuffle, repeated rows and null ids stay as they are.
-    A docs column with one of the added names is replaced.
+    Adds n_tokens; with ``ids`` token_ids array<int>; with ``digest``
+    ids_sha256 (ids as little-endian unsigned 32-bit integers) and
+    decoded_sha256 (of the bytes that the ids decode to). Null text counts as
+    empty: no tokens. Rows are independent: no shuffle, repeated rows and null
+    ids stay as they are. A docs column with one of the added names is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    added = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["token_ids array<int>"]
+    added = ["n_tokens long", *["token_ids array<int>"] * ids, *["ids_sha256 string", "decoded_sha256 string"] * digest]
     names = [a.split()[0] for a in added]
     docs = docs.drop(*names)
     fields = docs.columns
@@ -237,14 +237,15 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = Fals
         for batch in frames:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [bpe.encode(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
+                coded = [bpe.encode(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
+                more = [pa.array([len(x) for x in coded], pa.int64())]
+                if ids:
+                    ends = np.cumsum([0, *map(len, coded)])
+                    flat = np.concatenate([np.frombuffer(x, np.uint32) for x in coded])
+                    more.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))))
                 if digest:
-                    packed = [np.frombuffer(x, np.uint32).astype("<u4") for x in ids]
-                    more = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in packed]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])]
-                else:
-                    ends = np.cumsum([0, *map(len, ids)])
-                    flat = np.concatenate([np.frombuffer(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)
-                    more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))]
+                    packed = [np.frombuffer(x, np.uint32).astype("<u4") for x in coded]
+                    more += [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in packed]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded])]
                 yield pa.record_batch([*part.columns, *more], names=[*fields, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *added])

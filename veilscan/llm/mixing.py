@@ -30,6 +30,8 @@ from .runtime import cut
 SAMPLE = 4000
 #: Marker words kept, at most.
 VOCABULARY = 64
+#: Characters of a word that make its stem.
+STEM = 5
 #: Chi-square statistic that a marker needs.
 LEAST_STRENGTH = 30
 #: Documents that must hold a word before it can be a marker.
@@ -38,8 +40,8 @@ STEPS = 30
 
 
 def _words(text: str = "text") -> Column:
-    """Lower-case words between white space, without the edge that split() leaves on leading space."""
-    return F.expr(rf"filter(split(lower(coalesce({text}, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    """Stems (the first STEM characters) of the lower-case words between white space."""
+    return F.expr(rf"transform(filter(split(lower(coalesce({text}, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> left(w, {STEM}))")
 
 
 def _bin(part: Column, whole: Column, name: str) -> Column:
@@ -58,7 +60,7 @@ def _shapes() -> Column:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """docs plus t (text), w (words), tokens, shapes."""
+    """docs plus t (text), w (word stems), tokens, shapes."""
     return docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("w", _words("t")).withColumn("tokens", F.size("w").cast("long")).withColumn("shapes", _shapes())
 
 

@@ -49,7 +49,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.tokenize(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digest=True).drop("text")
+    return bpe.tokenize(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digest=True, ids=False).drop("text")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
