@@ -117,7 +117,7 @@ def _fold(scanner: Scanner, limits: Limits, key: tuple, frames: Iterator[pd.Data
             done, size = True, len(session.held)
     state.update((next_seq, b"" if done else bytes(session.held), done))
     if error or report is not None:
-        yield pd.DataFrame({"source_id": [str(key[0])], "error": [error], "source_bytes": [size], "report": [None if report is None else json.dumps(report)]})
+        yield pd.DataFrame({"source_id": [str(key[0])], "error": [error], "source_bytes": [size], "report": [None if report is None else json.dumps(report)]}, dtype=object)
 
 
 def stream_reports(chunks: DataFrame, scanner: Scanner | None = None, limits: Limits | None = None) -> DataFrame:
@@ -133,7 +133,7 @@ def stream_reports(chunks: DataFrame, scanner: Scanner | None = None, limits: Li
 
     def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = list(fold(key, iter([frame]), _Once()))
-        return out[0] if out else pd.DataFrame({"source_id": [], "error": [], "source_bytes": [], "report": []})
+        return out[0] if out else pd.DataFrame({"source_id": [], "error": [], "source_bytes": [], "report": []}, dtype=object)
 
     return rows.groupBy("source_id").applyInPandas(whole, RESULT)
 
