@@ -53,7 +53,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = domains(table(spark, sf_dir, "labels"))
     rows, _ = mixing.mix(docs, labelled, SHARES, anchor="clean", margin=KEEP_CLEAN)
-    return rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    # an outer explode: Spark would copy the whole classifier into a filter in front of an inner one
+    repeated = rows.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.where("_copy is not null").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
