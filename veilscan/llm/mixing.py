@@ -30,8 +30,6 @@ from .runtime import cut
 SAMPLE = 4000
 #: Marker words kept, at most.
 VOCABULARY = 64
-#: Characters of a word that make its stem.
-STEM = 5
 #: Chi-square statistic that a marker needs.
 LEAST_STRENGTH = 30
 #: Documents that must hold a word before it can be a marker.
@@ -39,29 +37,26 @@ MIN_DOCS = 8
 STEPS = 30
 
 
-def _words(text: str = "text") -> Column:
-    """Stems (the first STEM characters) of the lower-case words between white space."""
-    return F.expr(rf"transform(filter(split(lower(coalesce({text}, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> left(w, {STEM}))")
-
-
 def _bin(part: Column, whole: Column, name: str) -> Column:
     """A share, on a logarithmic scale of 8 steps, as a pseudo-word that no text can contain (it has a space)."""
     return F.concat(F.lit(f"{name} "), F.when(part <= 0, F.lit("0")).otherwise(F.greatest(F.lit(1), F.lit(8) + F.floor(F.log2(part / F.greatest(whole, F.lit(1))))).cast("string")))
 
 
-def _shapes() -> Column:
+def _count(chars: str) -> Column:
+    """replace() finds single characters fast and copies only texts that have them."""
     size = F.length("t")
-    count = lambda chars: size - F.length(F.translate("t", chars, ""))
-    return F.array(
-        _bin(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), size, "upper"), _bin(count("#*$%&"), size, "symbols"),
-        _bin(count("|"), size, "bars"), _bin(count("!"), size, "shouts"), _bin(count("0123456789"), size, "digits"),
-        F.concat(_bin(F.col("tokens") - F.size(F.array_distinct("w")), F.col("tokens"), "repeats"), F.lit(" of "), F.floor(F.log2(F.col("tokens") + 1)).cast("string")),
-    )
+    return sum((size - F.length(F.replace(F.col("t"), F.lit(c), F.lit(""))) for c in chars), F.lit(0))
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """docs plus t (text), w (word stems), tokens, shapes."""
-    return docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("w", _words("t")).withColumn("tokens", F.size("w").cast("long")).withColumn("shapes", _shapes())
+    """docs plus t (text), tokens (pieces between spaces), w (the distinct pieces), shapes."""
+    size = F.length("t")
+    rows = docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("pieces", F.split("t", " "))
+    rows = rows.withColumn("tokens", F.when(size == 0, 0).otherwise(F.size("pieces")).cast("long")).withColumn("w", F.array_distinct("pieces")).drop("pieces")
+    return rows.withColumn("shapes", F.array(
+        _bin(_count("#*$%&"), size, "symbols"), _bin(_count("|"), size, "bars"), _bin(_count("!"), size, "shouts"),
+        F.concat(_bin(F.col("tokens") - F.size("w"), F.col("tokens"), "repeats"), F.lit(" of "), F.floor(F.log2(F.col("tokens") + 1)).cast("string")),
+    ))
 
 
 @dataclass
@@ -84,7 +79,7 @@ class DomainModel:
             return F.aggregate(found, zero, lambda a, x: add(a, F.coalesce(F.element_at(values, x), zero)))
 
         rows = _featured(docs)
-        rows = rows.withColumn("found", F.array_intersect("w", F.array(*map(F.lit, self.words)) if self.words else F.expr("array('')")))
+        rows = rows.withColumn("found", F.array_intersect("w", F.array(*map(F.lit, self.words)) if self.words else F.expr("cast(array() as array<string>)")))
         rows = rows.withColumn("by_word", summed("found", self.words)).withColumn("by_shape", summed("shapes", self.shapes))
         rows = rows.withColumn("logits", add(add(F.col("by_word"), F.col("by_shape")), F.array(*map(F.lit, self.prior))))
         rows = rows.withColumn("odds", F.expr("transform(logits, x -> exp(x - array_max(logits)))"))
@@ -96,7 +91,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     """labelled(doc_id, domain); rows with an unknown domain, a null id or no document take no part."""
     chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = cut(_featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "shapes", F.array_distinct("w").alias("w")))
+    rows = cut(_featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "shapes", "w"))
     sizes = dict(rows.groupBy("domain").count().collect())
     n, k = sum(sizes.values()), len(domains)
     total = np.array([sizes.get(d, 0) for d in domains], float)
