@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -20,7 +21,7 @@ def test_registry():
 
     names = set(entry.queries())
     assert {re.match(r"op\d+", n)[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(QUERIES) | {"pipeline"} <= names
-    assert set(entry.oracle_sql()) <= names and not ORACLE_SQL and corpus_pipeline.ORACLE_SQL is None
+    assert set(entry.oracle_sql()) <= names and set(ORACLE_SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert public_tokenizers.PATTERN == PATTERN
 
 
@@ -29,6 +30,16 @@ def test_queries_run(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_oracles(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    got, want = QUERIES[name](spark, small).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    rows = lambda f: sorted(map(str, f[sorted(got.columns)].astype(object).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
 def test_pipeline_equals_its_parts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")

@@ -74,7 +74,9 @@ def tile(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: in
             full = [h[0][0] if len(h) == k else -np.inf for h in heaps[rows]]
             keep = high >= np.maximum(floor, full)[:, None]
             qi, ci = np.nonzero(keep)
-            score = (q64[lo + qi] * b64[ci]).sum(1)
+            score = np.zeros(len(qi))
+            for d in range(q64.shape[1]):  # in the order of the dimensions, so that a score has one value
+                score += q64[lo + qi, d] * b64[ci, d]
             for i, c, x in zip((lo + qi).tolist(), (at + ci).tolist(), score.tolist()):
                 heap, me = heaps[i], qid[i]
                 for v in ids[c]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, licences, mixing, nearest, ngram_join, quality_classifier, quality_rules, secrets
+from . import bpe, chat, html_extract, licences, mixing, nearest, ngram_join, oracles, quality_classifier, quality_rules, secrets
 from .runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,4 +72,5 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_nearest, op4_licences, op5_chat_format, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secrets, op10_html_extract)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others' models, tokenizer or match positions have no SQL.
+ORACLE_SQL = {"op2_ngram_jaccard": oracles.JACCARD, "op3_nearest": oracles.NEAREST, "op5_chat_format": oracles.CHAT, "op8_quality_rules": oracles.QUALITY_RULES}
