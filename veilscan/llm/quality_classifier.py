@@ -94,20 +94,22 @@ class Model:
 
 
 def fit(x: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> Model:
+    """Overwrites x, the one large array of the driver."""
     if not len(x):
         return Model(np.zeros((SIZE, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(float), 0.5)
-    seen = (x > 0).sum(0)
+    seen = np.count_nonzero(x, axis=0)
     idf = np.where(seen >= 2, np.log((1 + len(x)) / (1 + seen)) + 0.3, 0).astype(np.float32)
-    y = _unit(x * idf)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     rng = np.random.default_rng(7)
     # randomised range finder with two power rounds
-    basis = y.T @ rng.standard_normal((len(y), min(latent + 16, len(y)))).astype(np.float32)
+    basis = x.T @ rng.standard_normal((len(x), min(latent + 16, len(x)))).astype(np.float32)
     for _ in range(2):
-        basis = y.T @ (y @ np.linalg.qr(basis)[0])
+        basis = x.T @ (x @ np.linalg.qr(basis)[0])
     q = np.linalg.qr(basis)[0]
-    _, _, vt = np.linalg.svd(y @ q, full_matrices=False)
-    w = (idf[:, None] * (q @ vt[:latent].T)).astype(np.float32)
-    return Model(w, _unit(x @ w), labels.astype(np.float64), float(labels.mean()))
+    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    w = (q @ vt[:latent].T).astype(np.float32)
+    return Model(idf[:, None] * w, _unit(x @ w), labels.astype(np.float64), float(labels.mean()))
 
 
 _FEATURE_SCHEMA = "label int, at array<int>, count array<float>"
@@ -137,13 +139,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     ids = texts.select("doc_id", F.xxhash64("text").alias("h")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
     rows = texts.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "label")
-    got = rows.mapInArrow(_sparse, _FEATURE_SCHEMA).toArrow()
-    x = np.zeros((got.num_rows, SIZE), np.float32)
-    for r, (at, count) in enumerate(zip(got.column("at").to_pylist(), got.column("count").to_pylist())):
-        x[r, at] = count
+    got = rows.mapInArrow(_sparse, _FEATURE_SCHEMA).toArrow().combine_chunks()
+    at, count = (got.column(c).combine_chunks() for c in ("at", "count"))
     y = got.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort([*(x[:, ::257].T), y])  # rows arrive in any order; the model must not depend on it
-    return fit(x[order], y[order])
+    ends = at.offsets.to_numpy() if len(at) else np.zeros(1, np.int64)
+    at, count = at.values.to_numpy(), count.values.to_numpy(zero_copy_only=False)
+    parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+    # rows arrive in any order; the model must not depend on it
+    order = sorted(range(len(parts)), key=lambda i: (y[i], at[parts[i]].tobytes(), count[parts[i]].tobytes()))
+    x = np.zeros((len(order), SIZE), np.float32)
+    for r, i in enumerate(order):
+        x[r, at[parts[i]]] = count[parts[i]]
+    return fit(x, y[order])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
