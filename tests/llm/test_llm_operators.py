@@ -106,6 +106,25 @@ def test_prefix_groups_with_several_sets(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_posting_lists_in_batches(size):
+    """Batches of any size give the lists that a plain grouping gives."""
+    r = random.Random(size)
+    rows = sorted((t, 1 << 16, 100 * t + i, (r.randint(1, 40) << 32) + r.randint(0, 5)) for t in range(60) for i in range(r.choice([1, 1, 2, 2, 3, 5])))
+    rows += [(99, (3 << 16) + s, 990 + s, 10 << 32) for s in range(3)]  # salted: one row a block
+    link = lambda x, y: 100 * min(x >> 32, y >> 32) >= 80 * max(x >> 32, y >> 32) and 180 * (1 + min((x >> 32) - (x & 255) - 1, (y >> 32) - (y & 255) - 1)) >= 80 * ((x >> 32) + (y >> 32))
+    by = defaultdict(list)
+    for row in rows:
+        by[row[:2]].append(row)
+    want = []
+    for group in by.values():
+        if group[0][1] >> 16 > 1 or len(group) > 2 or (len(group) == 2 and link(group[0][3], group[1][3])):
+            want += [(*x, *(y[2:] if y else (None, None))) for x, y in zip(group, [*group[1:], None])]
+    batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i:i + size])], names=["t", "blk", "gid", "np"]) for i in range(0, len(rows), size)]
+    got = [tuple(x.values()) for b in ngram_join._lists(80)(iter(batches)) for x in b.to_pylist()]
+    assert got == want
+
+
 def test_parity_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(0)
     for n in (3, 50, 900):

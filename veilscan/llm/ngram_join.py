@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut
+from .runtime import cut, release
 from .textbatch import column_bytes, mix64, shingle_sets, slices
 
 SKETCH_BITS = 20
@@ -40,6 +40,9 @@ CHUNK = 1 << 14
 HOT = 50_000
 MOST_BLOCKS = 1 << 14
 FILTER_SLOTS = 1_048_573
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 8
+_PARITY = [f"k{i}" for i in range(SKETCH_WORDS)]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -59,6 +62,13 @@ def _signature(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of the set's shingles fall into slot i. The xor of two sets' bits shows their difference alone."""
+    slots = 64 * SKETCH_WORDS
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 _SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
@@ -86,7 +96,7 @@ def _add_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(level: np.ndarray, percent: int):
     """Scan 2: each set's prefix in the order of the sketch's frequency levels, then of the hashes."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("gkey", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("gkey", pa.binary()), ("prefix", pa.list_(pa.int64())), *((k, pa.int64()) for k in _PARITY)])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(frames):
@@ -103,7 +113,8 @@ def _prefixes(level: np.ndarray, percent: int):
                 ends.append(ends[-1] + p)
                 sigs.append(_signature(s))
             cells = pa.array(np.concatenate(toks).view(np.int64))
-            yield pa.record_batch([ids.take(pa.array(keep)).cast(pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(sigs, pa.binary()), pa.array(gkeys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], schema=out)
+            parity = np.stack([_parity(sets[i]) for i in keep])
+            yield pa.record_batch([ids.take(pa.array(keep)).cast(pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(sigs, pa.binary()), pa.array(gkeys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells), *(pa.array(c) for c in parity.T)], schema=out)
 
     return run
 
@@ -129,28 +140,45 @@ def _postings(blocks: np.ndarray):
     return run
 
 
-def _lists(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (t, blk): those that share their list, each with the next group of its list. Holds one row."""
+def _lists(percent: int):
+    """Rows sorted by (t, blk): those that share their list, each with the next group of its list. Holds two rows.
+
+    The two groups of an unsalted list of two go at once if the size and
+    position filters refuse them.
+    """
     names = ["t", "blk", "gid", "np", "next_gid", "next_np"]
-    held, before = None, False
 
-    def out(rows: np.ndarray, nxt: np.ndarray, near: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
-        keep = shared | near | (rows[1] >> 16 > 1)
-        r, x, dead = rows[:, keep], nxt[:, keep], ~near[keep]
-        return pa.record_batch([pa.array(c) for c in r] + [pa.array(c, mask=dead) for c in x[2:]], names=names)
+    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m, p, q = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
+        return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (1 + np.minimum(n - p - 1, m - q - 1)) >= percent * (n + m))
 
-    for batch in frames:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names[:4]])
-        if held is not None:
-            rows = np.concatenate([held, rows], 1)
-        if rows.shape[1] < 2:
-            held = rows if rows.shape[1] else held
-            continue
-        near = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
-        yield out(rows[:, :-1], rows[:, 1:], near, np.concatenate([[before], near[:-1]]))
-        before, held = bool(near[-1]), rows[:, -1:]
-    if held is not None:
-        yield out(held, held, np.array([False]), np.array([before]))
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        same = [False, False]  # whether the two rows before the first held one share a list, and the later of them its list
+        fits = False  # whether the row before the first held one and that one may link
+
+        def blocks() -> Iterator[np.ndarray]:
+            for batch in frames:
+                yield np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names[:4]])
+            yield np.array([[0, 0], [-1, -2], [0, 0], [0, 0]], np.int64)  # two rows of no list push out the last ones
+
+        for block in blocks():
+            rows = np.concatenate([held, block], 1)
+            k = rows.shape[1] - 2
+            if k < 1:
+                held = rows
+                continue
+            near = np.concatenate([same, (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])])
+            before2, before, after, after2 = near[:k], near[1:k + 1], near[2:k + 2], near[3:k + 3]
+            after2 = np.concatenate([after2, np.zeros(k - len(after2), bool)])
+            ok = allowed(rows[3, :-1], rows[3, 1:])
+            refused = (~before & after & ~after2 & ~ok[:k]) | (~before2 & before & ~after & ~np.concatenate([[fits], ok[:k - 1]]))
+            keep = (rows[1, :k] >> 16 > 1) | ((before | after) & ~refused)
+            nxt, dead = rows[:, 1:k + 1][:, keep], ~after[keep]
+            yield pa.record_batch([pa.array(c) for c in rows[:, :k][:, keep]] + [pa.array(c, mask=dead) for c in nxt[2:]], names=names)
+            same, fits, held = [bool(near[k]), bool(near[k + 1])], bool(ok[k - 1]), rows[:, k:]
+
+    return run
 
 
 def _holds(slots: np.ndarray):
@@ -209,8 +237,16 @@ class JaccardJoin:
         level = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8)
         return level, np.clip(-(-total // hot) * (total > hot), 1, MOST_BLOCKS).astype(np.int32)
 
-    def _linked(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs(a, b) of document ids, those whose whole sets link."""
+    def _near(self, x: str, y: str, n1: str, n2: str) -> str:
+        """The parity sketches allow a link: their differing bits are no more than the sets may differ."""
+        apart = " + ".join(f"bit_count({x}{k} ^ {y}{k})" for k in range(SKETCH_WORDS))
+        return f"{100 + self.percent} * ({apart}) <= {100 - self.percent} * ({n1} + {n2})"
+
+    def _linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of pairs(a, b) of document ids, those whose whole sets link; the sketches of classes go first."""
+        side = lambda key, v: classes.select(F.col("cid").alias(key), F.col("n").alias(f"n_{v}"), *[F.col(k).alias(f"{v}{i}") for i, k in enumerate(_PARITY)])
+        close = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(self._near("x", "y", "n_x", "n_y"))
+        pairs = cut(close.select("a", "b").distinct())
         ids = pairs.select("a").union(pairs.select(F.col("b").alias("a")))
         slots = np.zeros(FILTER_SLOTS, bool)
         bits = ids.select(F.expr(f"pmod(a, {FILTER_SLOTS})").alias("k")).groupBy(F.expr("k div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(k % 32 as int)))").alias("m"))
@@ -226,35 +262,46 @@ class JaccardJoin:
         scan = cut(self.docs.mapInArrow(_scan, "doc_id long, n long, sig binary, chunk int, counts binary"))
         level, blocks = self._frequency(scan)
         rows = scan.where("chunk is null").select("doc_id", "n", "sig")
-        prefixed = cut(self.docs.where("doc_id is not null").mapInArrow(_prefixes(level, self.percent), "doc_id long, n long, sig binary, gkey binary, prefix array<bigint>"))
+        # read twice: the prefixes once for the groups, without them for the classes
+        prefixed = self.docs.where("doc_id is not null").mapInArrow(_prefixes(level, self.percent), "doc_id long, n long, sig binary, gkey binary, prefix array<bigint>, " + ", ".join(f"{k} long" for k in _PARITY))
         groups = prefixed.groupBy("gkey").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         postings = groups.select("gid", "n", "prefix").mapInArrow(_postings(blocks), "t long, blk int, gid long, np long")
         spread = postings.repartition("t", "blk").sortWithinPartitions("t", "blk", F.xxhash64("t", "gid"))
-        lists = cut(spread.mapInArrow(_lists, "t long, blk long, gid long, np long, next_gid long, next_np long"))
+        lists = cut(spread.mapInArrow(_lists(self.percent), "t long, blk long, gid long, np long, next_gid long, next_np long"))
+        release(self.spark)
 
-        classes = cut(prefixed.groupBy("gkey", "sig").agg(F.min("doc_id").alias("cid")))
+        classes = cut(prefixed.groupBy("gkey", "sig").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in _PARITY]))
         shared = classes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count("*").alias("members")).where("members > 1").select("gkey", "gid")
         members = cut(classes.join(shared, "gkey").select("gid", "cid"))
 
         near = lists.where("next_gid is not null").where(_filter_sql(self.percent, "np", "next_np"))
         first = near.select(F.least("gid", "next_gid").alias("a"), F.greatest("gid", "next_gid").alias("b"))
         inside = members.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-        links = self._linked(cut(first.union(inside).where("a <> b").distinct()))
+        links = self._linked(first.union(inside).where("a <> b").distinct(), classes)
         part = cut(components(links))
+        release(self.spark)
 
         comp = lambda df, key: df.join(part.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", F.col(key)))
         # members of a group, as one list; groups of one need no row
         own = comp(members, "cid")
         seated = comp(lists.select("t", "blk", "gid", "np"), "gid")
         spans = own.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        seated = seated.join(spans, "gid", "left").withColumn("lo", F.least(F.coalesce("lo", "component"), "component")).withColumn("hi", F.greatest(F.coalesce("hi", "component"), "component"))
-        open_ = seated.groupBy("t").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("t")
-        rest = cut(seated.join(open_, "t", "left_semi"))
+        seated = seated.join(spans, "gid", "left").withColumn("many", F.col("lo").isNotNull())
+        seated = seated.withColumn("lo", F.least(F.coalesce("lo", "component"), "component")).withColumn("hi", F.greatest(F.coalesce("hi", "component"), "component"))
+        # a list of two has had its only pair verified
+        open_ = seated.groupBy("t").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("c"), F.max("blk").alias("b"), F.max("many").alias("many"))
+        open_ = open_.where("l <> h and (c > 2 or (b >> 16) > 1 or many)").select("t")
+        shapes = classes.groupBy(F.col("cid").alias("gid")).agg((F.count("*") > 1).alias("twice"), *[F.first(k).alias(k) for k in _PARITY])
+        rest = seated.join(open_, "t", "left_semi").join(shapes, "gid")
+        rest = cut(rest.withColumn("many", F.col("many") | F.col("twice")).drop("twice"))  # no one sketch stands for these
+        release(self.spark)
         dealt = rest.withColumn("j", F.explode(F.expr("sequence(0L, (blk >> 16) - 1)"))).withColumn("s", F.expr("blk & 65535")).withColumn("u", F.least("s", "j")).withColumn("v", F.greatest("s", "j"))
-        cols = ["gid", "np", "lo", "hi"]
+        cols = ["gid", "np", "lo", "hi", "many", *_PARITY]
         left = dealt.where("s = u").select("t", "u", "v", *[F.col(c).alias(f"{c}1") for c in cols])
         right = dealt.where("s = v").select("t", "u", "v", *[F.col(c).alias(f"{c}2") for c in cols])
-        pairs = left.join(right, ["t", "u", "v"]).where("(u < v or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "np1", "np2"))
+        near = " + ".join(f"bit_count({k}1 ^ {k}2)" for k in _PARITY)
+        near = f"{100 + self.percent} * ({near}) <= {100 - self.percent} * ((np1 >> 32) + (np2 >> 32))"  # of groups with one member
+        pairs = left.join(right, ["t", "u", "v"]).where(f"(many1 or many2 or {near}) and (u < v or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "np1", "np2"))
         pairs = cut(pairs.select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h")).distinct())
         # expand groups to members; inside a group of several components, its members meet too
         inner = spans.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
@@ -266,7 +313,7 @@ class JaccardJoin:
         for out in ("a", "b"):
             wide = wide.join(lone.withColumnRenamed("node", out), out, "left").withColumn(f"{out}_c", F.coalesce("c", F.col(out))).drop("c")
         wide = wide.where("a_c <> b_c").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = self._linked(cut(wide))
+        more = self._linked(wide, classes)
 
         whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         named = classes.select("sig", "cid").join(whole.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.coalesce("component", "cid").alias("component"))
