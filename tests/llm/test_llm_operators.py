@@ -403,6 +403,19 @@ def test_mixing_edges(spark):
     assert a == b
 
 
+def test_mixing_words(spark):
+    """Tokens are the words between white space; markers match in any case, before punctuation and at line ends."""
+    texts = [*ODD_TEXTS, "a\nb\nc", "a\tb\x0bc\x0cd\re", "one\n" * 50, "  x   y "]
+    got = {r.doc_id: r.tokens for r in mixing._featured(docs(spark, texts)).collect()}
+    assert got == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    forms = ["idiot.", "Idiot", "(IDIOT)", "x\nidiot\ny", "idiot$$$", "\u201cidiot\u201d,", "idiots"]
+    model = mixing.DomainModel(["a", "b"], [0.0, 0.0], {"idiot": [0.0, 3.0]}, {})
+    assert all(r.posterior[1] > 0.9 for r in model.posteriors(docs(spark, forms)).collect())
+    assert all(r.posterior[1] == 0.5 for r in model.posteriors(docs(spark, ["no such word", "anidiot"])).collect())
+    shapes = mixing._featured(docs(spark, ["ABab12\u00e9\u00e9", "ab"])).orderBy("doc_id").collect()
+    assert {"upper 6", "digits 6"} <= set(shapes[0].shapes) and {"upper 0", "digits 0"} <= set(shapes[1].shapes)
+
+
 def test_licences(spark):
     model = licences.trained()
     lines = [t for ts in licences.TEMPLATES.values() for t in ts]

@@ -30,6 +30,11 @@ from .runtime import cut
 SAMPLE = 4000
 #: Marker words kept, at most.
 VOCABULARY = 64
+#: Characters of a word that make its stem.
+STEM = 5
+UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: What is stripped from both ends of a word before it can be a marker.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 #: Chi-square statistic that a marker needs.
 LEAST_STRENGTH = 30
 #: Documents that must hold a word before it can be a marker.
@@ -48,15 +53,28 @@ def _count(chars: str) -> Column:
     return sum((size - F.length(F.replace(F.col("t"), F.lit(c), F.lit(""))) for c in chars), F.lit(0))
 
 
+def _pieces(text: str) -> Column:
+    """The lower-case words between runs of [\\x20\\x09-\\x0D]; replace() and a split at one character do without a regular expression."""
+    spaced = F.lower(text)
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
 def _featured(docs: DataFrame) -> DataFrame:
-    """docs plus t (text), tokens (pieces between spaces), w (the distinct pieces), shapes."""
+    """docs plus t (text), tokens (words), w (the distinct stems of words without the punctuation around them), shapes."""
     size = F.length("t")
-    rows = docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("pieces", F.split("t", " "))
-    rows = rows.withColumn("tokens", F.when(size == 0, 0).otherwise(F.size("pieces")).cast("long")).withColumn("w", F.array_distinct("pieces")).drop("pieces")
+    rows = docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("pieces", _pieces("t"))
+    rows = rows.withColumn("tokens", F.size("pieces").cast("long")).withColumn("pieces", F.array_distinct("pieces"))
+    rows = rows.withColumn("w", F.array_distinct(F.transform("pieces", lambda w: F.left(F.btrim(w, F.lit(PUNCTUATION)), F.lit(STEM)))))
+    # without A-Z, and with digits two bytes long: one pass counts both
+    rows = rows.withColumn("other", F.translate("t", DIGITS + UPPER, "\u00e9" * len(DIGITS)))
+    upper = size - F.length("other")
+    digits = F.octet_length("other") - F.octet_length("t") + upper
     return rows.withColumn("shapes", F.array(
-        _bin(_count("#*$%&"), size, "symbols"), _bin(_count("|"), size, "bars"), _bin(_count("!"), size, "shouts"),
-        F.concat(_bin(F.col("tokens") - F.size("w"), F.col("tokens"), "repeats"), F.lit(" of "), F.floor(F.log2(F.col("tokens") + 1)).cast("string")),
-    ))
+        _bin(upper, size, "upper"), _bin(_count("#*$%&"), size, "symbols"), _bin(_count("|"), size, "bars"), _bin(_count("!"), size, "shouts"), _bin(digits, size, "digits"),
+        F.concat(_bin(F.col("tokens") - F.size("pieces"), F.col("tokens"), "repeats"), F.lit(" of "), F.floor(F.log2(F.col("tokens") + 1)).cast("string")),
+    )).drop("pieces", "other")
 
 
 @dataclass
