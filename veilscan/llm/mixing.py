@@ -6,8 +6,12 @@ chosen and all documents scored in SQL.
 Rates r >= 0 then solve a least-squares problem: sum_d r_d t_d p_dk = T w_k for
 each domain k (t tokens, p posterior, w target weight, T total), by projected
 gradient steps from r = 1. With M = sum of t_d p_d p_d' over the documents whose
-rate is above 0, the step for document d is p_d . M^-1 (A r - T w), halved until
-the residual falls; the projection r >= 0 makes it iterate. Every step is one
+rate is above its bound, the step for document d is p_d . M^-1 (A r - T w),
+halved until the residual falls; the projection r >= 0 makes it iterate. With an
+anchor domain, documents that are likeliest of that domain have r >= 1 instead:
+none of them is dropped, the others take the whole cut. Where the other domains'
+shares of such documents alone exceed the targets, only the surest of them (by
+the lowest of SURE that leaves room) have that bound. Every step is one
 aggregation to K + K(K+1)/2 numbers; r itself is an expression over the
 K-vectors of the steps so far and is never stored.
 
@@ -36,10 +40,16 @@ UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: What is stripped from both ends of a word before it can be a marker.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 #: Chi-square statistic that a marker needs.
-LEAST_STRENGTH = 30
+LEAST_STRENGTH = 20
 #: Documents that must hold a word before it can be a marker.
-MIN_DOCS = 8
+MIN_DOCS = 3
 STEPS = 30
+#: Least posteriors of the anchor that bound a rate by 1, tried in this order.
+SURE = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99)
+
+
+#: Index of the domain whose documents keep a rate of 1, and the posterior they need.
+Bound = tuple[int, float] | None
 
 
 def _bin(part: Column, whole: Column, name: str) -> Column:
@@ -137,7 +147,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     return DomainModel(domains, [float(v) for v in bias], pick(known), pick(set(names) - known))
 
 
-def _softmax_regression(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 400, penalty: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
+def _softmax_regression(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 1000, penalty: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
     """(bias, weights) by accelerated full-batch gradient descent; deterministic."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     step = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + penalty)
@@ -152,19 +162,20 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 400,
     return w[-1], w[:-1]
 
 
-def solve(rows: DataFrame, targets: Mapping[str, float], total: float | None = None, anchor: str | None = None, margin: float = 1.0) -> tuple[list[list[float]], dict]:
-    """Steps of the projected gradient over rows(tokens, posterior), and a report of what they reach."""
+def solve(rows: DataFrame, targets: Mapping[str, float], total: float | None = None, anchor: str | None = None, margin: float = 1.0) -> tuple[list[list[float]], Bound, dict]:
+    """Steps of the projected gradient over rows(tokens, posterior), the bound they hold, and a report of what they reach."""
     domains, weight = list(targets), np.array([float(x) for x in targets.values()])
     weight = weight / weight.sum()
     k, t = len(domains), F.col("tokens")
     p = [F.col("posterior")[i] for i in range(k)]
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     steps: list[list[float]] = []
+    of: Bound = None
 
     def measured() -> tuple[np.ndarray, np.ndarray]:
-        """(tokens by domain at the present rates, sum of t p p' over documents with a rate above 0)."""
-        at = rows.withColumn("r", rate(steps))
-        live = F.when(F.col("r") > 0, t).otherwise(0)
+        """(tokens by domain at the present rates, sum of t p p' over documents with a rate above its bound)."""
+        at = rows.withColumn("r", rate(steps, of))
+        live = F.when(F.col("r") > least(of), t).otherwise(0) if steps else t
         got = at.agg(*[F.sum(F.col("r") * t * p[i]) for i in range(k)], *[F.sum(live * p[i] * p[j]) for i, j in cells]).first()
         values = [float(x or 0.0) for x in got]
         m = np.zeros((k, k))
@@ -177,35 +188,47 @@ def solve(rows: DataFrame, targets: Mapping[str, float], total: float | None = N
     if total is None:
         total = have.sum() if anchor is None else margin * have[domains.index(anchor)] / weight[domains.index(anchor)]
     want, got = total * weight, have
+    if anchor is not None:
+        a = domains.index(anchor)
+        fixed = rows.agg(*[F.sum(least((a, sure)) * t * p[i]) for sure in SURE for i in range(k)]).first()
+        held = np.array([float(x or 0.0) for x in fixed]).reshape(len(SURE), k)
+        of = next(((a, sure) for sure, h in zip(SURE, held) if (np.delete(h, a) <= 0.99 * np.delete(want, a)).all()), None)
     off = lambda g: float((g - want) @ norm @ (g - want))
     for _ in range(STEPS):
         if np.abs(got - want).max() <= 1e-7 * max(1.0, total):
             break
         before = off(got)
         step = np.linalg.pinv(m) @ (got - want)
+        so_far = list(steps)
         for _ in range(6):
-            steps.append([float(x) for x in step])
+            # bounds of 1 bind at the start: there one summed step, which keeps them apart from what is past them
+            steps[:] = [*so_far, step.tolist()] if of is None else [(np.sum([*so_far, step], 0)).tolist()]
             got, m = measured()
             if off(got) < before:
                 break
-            steps.pop()  # too long a step
+            steps[:] = so_far  # too long a step
             step = step / 2
         else:
             got, m = measured()
             break
-    return steps, {"domains": domains, "have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "steps": len(steps)}
+    return steps, of, {"domains": domains, "have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "steps": len(steps), "sure": of and of[1]}
+
+
+def least(of: Bound) -> Column:
+    """The bound of a document's rate: 1 if the domain is its likeliest and sure enough, else 0."""
+    return F.lit(0.0) if of is None else F.when(F.col("posterior")[of[0]] >= F.greatest(F.array_max("posterior"), F.lit(of[1])), 1.0).otherwise(0.0)
 
 
-def rate(steps: list[list[float]]) -> Column:
+def rate(steps: list[list[float]], of: Bound = None) -> Column:
     """A document's rate after the steps, from its posterior."""
     moves = F.array(*[F.array(*map(F.lit, g)) for g in steps]) if steps else F.expr("cast(array() as array<array<double>>)")
-    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(F.col("posterior"), g, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)))
+    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(least(of), r - F.aggregate(F.zip_with(F.col("posterior"), g, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)))
 
 
-def with_rates(rows: DataFrame, steps: list[list[float]]) -> DataFrame:
+def with_rates(rows: DataFrame, steps: list[list[float]], of: Bound = None) -> DataFrame:
     """Adds rate and copies; copies rounds the rate up or down by the hash h, so that its expectation is the rate."""
     u = F.pmod(F.col("h"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rows = rows.withColumn("rate", rate(steps))
+    rows = rows.withColumn("rate", rate(steps, of))
     return rows.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 
@@ -213,7 +236,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], tota
     """(rows, report): every row of docs with tokens, posterior array<double>, rate and copies.
 
     ``total`` is the wanted token total; without it, it is the corpus total, or
-    with ``anchor`` what gives that domain ``margin`` times the tokens it has.
+    with ``anchor`` what gives that domain ``margin`` times the tokens it has;
+    then documents likeliest of the anchor, as sure as the report's sure, have a
+    rate of 1 at least.
     With keep_text all columns of docs stay, else doc_id only. Null or empty
     text has no tokens and the rate of its posterior. Repeated rows are mixed
     each on its own (equal rows round alike). An empty table gives no rows.
@@ -223,6 +248,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], tota
     model = fit_domains(docs, labelled, list(targets), sample)
     measured = lambda d: model.posteriors(d).withColumn("h", F.xxhash64("doc_id", "t", F.lit("copies"))).drop("t")
     narrow = cut(measured(docs.select("doc_id", "text")).drop("text"))
-    steps, report = solve(narrow, targets, total, anchor, margin)
-    rows = with_rates(measured(docs) if keep_text else narrow, steps)
+    steps, of, report = solve(narrow, targets, total, anchor, margin)
+    rows = with_rates(measured(docs) if keep_text else narrow, steps, of)
     return rows.drop("h"), report
