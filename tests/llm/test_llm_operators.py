@@ -307,6 +307,17 @@ def test_secrets(spark):
     assert masked[texts.index("see q7Xp2Lm9Zt4Rk8Vb1Nc6Wd3 here")] == "see [SECRET] here"
 
 
+def test_random_runs_of_any_shape(encoder):
+    """Random keys are found with or without digits; words, digests, UUIDs and numbers are spared."""
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for pool, size in ((letters, 40), (letters, 64), (letters + "0123456789", 20), (letters + "0123456789+/", 24), (letters + "0123456789+/", 20)):
+        keys = ["".join(r.choice(pool) for _ in range(size)) for _ in range(500)]
+        assert sum(bool(secrets.random_spans(k, encoder)) for k in keys) >= 0.99 * len(keys), (len(pool), size)
+    for spared in ("internationalization-of-everything2024", "src/main/java/org/example/service/UserController", "a-b-c-d-e-f-g-h-i-j-k-l", "x1_y2_z3_x4_y5_z6_x7_y8", "123e4567-e89b-12d3-a456-426614174000", "ab12" * 10, "2024-01-02-03-04-05-06-07"):
+        assert not secrets.random_spans(spared, encoder), spared
+
+
 def test_html_held_out_and_odd_pages(spark):
     model = html_extract.trained()
     tests = pages(200, seed=77)

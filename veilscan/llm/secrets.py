@@ -1,9 +1,9 @@
 """Secret scans: fixed base patterns plus a token-efficiency test for random strings.
 
 A string that a public BPE vocabulary splits into unusually many tokens for its
-length is unlike anything written by people: random. Runs of key characters
-with both letters and digits are measured, after digests, UUIDs and other
-regular identifiers are set aside.
+length is unlike anything written by people: random. Runs of key characters are
+measured, after digests, UUIDs and numbers are set aside; words joined by
+separators are spared if each word alone tokenises like one.
 """
 
 from __future__ import annotations
@@ -39,24 +39,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 def is_identifier(run: str) -> bool:
-    """Known digests by size, UUIDs, numbers, and words joined by separators."""
+    """Known digests by size, UUIDs and numbers."""
     if len(run) in DIGEST_SIZES and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return True
-    return not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or _words_only(run)
+    return not re.search("[A-Za-z]", run) or bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run))
 
 
-def _words_only(run: str) -> bool:
-    """UUID, or parts that are each a word with a number of up to 4 digits after it, or a number."""
-    if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
-        return True
-    return all(re.fullmatch(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)?", part) for part in re.split(r"[-_/=+]", run))
+def _words_only(run: str, bpe: BytePairEncoder, ratio: float) -> bool:
+    """Parts that are each a word with a number of up to 4 digits after it, or a number, and whose words tokenise like words."""
+    parts = [re.fullmatch(r"([A-Za-z]+)[0-9]{0,4}|[0-9]+|", part) for part in re.split(r"[-_/=+]", run)]
+    if not all(parts):
+        return False
+    words = [m[1] for m in parts if m[1]]
+    return all(len(w) < 4 or len(w) >= ratio * len(bpe.chunk(w)) for w in words)
 
 
 def random_spans(text: str, bpe: BytePairEncoder, ratio: float = CHARS_PER_TOKEN) -> list[Span]:
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not is_identifier(run) and len(run) < ratio * len(bpe.chunk(run)):
+        if not is_identifier(run) and len(run) < ratio * len(bpe.chunk(run)) and not _words_only(run, bpe, ratio):
             out.append((m.start(), 3, m.end()))
     return out
 
