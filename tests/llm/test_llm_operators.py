@@ -401,6 +401,16 @@ def test_mixing_meets_targets(spark):
     assert report["steps"] <= mixing.STEPS
 
 
+def test_mixing_samples_documents_that_exist(spark):
+    """Labels of absent documents take no place in the sample."""
+    rows, labels = _mix_tables(spark, 120)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = domains(spark.createDataFrame([x[:3] for x in labels] + [(i, 1, 0) for i in range(1000, 6000)], "doc_id long, quality int, toxic int"))
+    alone = domains(spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int"))
+    names = ["clean", "junk", "toxic"]
+    assert mixing.fit_domains(frame, labelled, names, 100) == mixing.fit_domains(frame, alone, names, 100)
+
+
 def test_mixing_edges(spark):
     labelled = domains(spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int"))
     targets = {"clean": 0.5, "junk": 0.5, "toxic": 0.0}

@@ -118,7 +118,7 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> DomainModel:
     """labelled(doc_id, domain); rows with an unknown domain, a null id or no document take no part."""
     chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = cut(_featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "shapes", "w"))
     sizes = dict(rows.groupBy("domain").count().collect())
     n, k = sum(sizes.values()), len(domains)
