@@ -318,6 +318,30 @@ def test_random_runs_of_any_shape(encoder):
         assert not secrets.random_spans(spared, encoder), spared
 
 
+def test_licence_gate_is_implied(spark):
+    """Every line that ungated scoring confirms passes the gate, whatever of a template it holds."""
+    words, r = set(licences.gate_words()), random.Random(8)
+    lines = ["Available under CC BY 4.0.", "Released under the MIT terms.", "Photos shared under CC BY-NC 4.0", "This work is under a Creative Commons Attribution 4.0 International deed", "confidential and proprietary, copying of this file is strictly prohibited"]
+    kept = [set(licences.grams(t)) for ts in licences.TEMPLATES.values() for t in ts]
+    for t in [t for ts in licences.TEMPLATES.values() for t in ts]:
+        for _ in range(40):
+            w = t.split()
+            for _ in range(r.randint(0, len(w) // 3)):
+                del w[r.randrange(len(w))]
+            lines.append(" ".join(w))
+    held = [max(len(set(licences.grams(x)) & g) / len(g) for g in kept) for x in lines]
+    assert all(h < licences.CONFIRM or words & set(licences.grams(x)) for x, h in zip(lines, held)) and all(h >= licences.CONFIRM for h in held[:5])
+    model = licences.trained()
+    got = {x.doc_id: x.family for x in licences.scan(docs(spark, lines)).collect()}
+    for i, x in enumerate(lines):
+        p = model.probabilities(x)
+        f = model.families[int(p.argmax())]
+        share = max((len(set(licences.grams(x)) & set(licences.grams(t))) / len(set(licences.grams(t))) for t in licences.TEMPLATES.get(f, [])), default=0)
+        if abs(p.max() - licences.THRESHOLD) > 2e-3:
+            assert got[i] == (f if p.max() >= licences.THRESHOLD and share >= licences.CONFIRM else None), x
+    assert any(got[i] for i in range(5))
+
+
 def test_html_held_out_and_odd_pages(spark):
     model = html_extract.trained()
     tests = pages(200, seed=77)

@@ -44,8 +44,6 @@ LOOKALIKES = (
     "version 2.0 of the phone sold well", "use of the pool is free of charge", "free software was discussed at the meeting", "distribution of food began", "redistribution of wealth is debated", "all seats reserved", "rights of the child", "the public domain of politics",
     "the work is done under pressure", "released under pressure from the press", "released under the new rules", "licensed to drive a bus", "licensed under state law to practice medicine", "this file is too large", "the source of the river", "modify the plan and copy the letter", "gnu and zebra cross the river", "the mozilla mascot", "attribution of the painting is unclear", "proprietary trading lost money", "a confidential report", "this work is hard",
 )
-#: A paragraph without any of these words is unknown: no template can be confirmed without one.
-ANCHORS = ("license", "licensed", "licence", "licenced", "copyright", "permission", "redistribut", "cc0", "public domain", "rights reserved", "unauthorized copying", "spdx", "source code form", "as is basis", "gpl", "free software")
 UNKNOWN = "unknown"
 THRESHOLD = 0.6
 #: Share of a template's distinct 1- and 2-grams that a paragraph must hold.
@@ -59,6 +57,27 @@ def grams(text: str) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
+_COMMON = frozenset("3 a all an and any are as be by can file following for form free from general in into is it may no not of on or part person software source that the this to under use with without work you".split())
+
+
+@lru_cache(maxsize=2)
+def gate_words(confirm: float = CONFIRM) -> tuple[str, ...]:
+    """Words of which every paragraph that holds ``confirm`` of some template has one.
+
+    Of each template, words are taken until the grams without them are too few;
+    words taken before and uncommon words come first, then those in most grams.
+    """
+    taken: set[str] = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        every = dict.fromkeys(grams(t))
+        left = [g.split(" ") for g in every if not taken & set(g.split(" "))]
+        while len(left) / len(every) >= confirm:
+            best = min({w for g in left for w in g}, key=lambda w: (w in _COMMON, -sum(w in g for g in left), w))
+            taken.add(best)
+            left = [g for g in left if best not in g]
+    return tuple(sorted(taken))
+
+
 def _altered(text: str, r: random.Random, noise: list[str]) -> str:
     words = text.split()
     if len(words) > 6 and r.random() < 0.4:
@@ -173,10 +192,10 @@ def scan(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     """
     model = model or trained()
     docs = docs.drop("n_paragraphs", "n_licence", "families", "family", "probability", "licence_paragraphs")
-    anchors = "(?i)" + "|".join(map(re.escape, ANCHORS))
+    anchors = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, gate_words())) + ")(?![a-z0-9])"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("n_paragraphs", F.expr(r"regexp_count(coalesce(cast(text as string), ''), '(?m)^.*\\S.*$')").cast("long"))
-    lines = F.when(text.rlike(anchors), F.filter(F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: x["s"].rlike(anchors)))
+    lines = F.when(F.lower(text).rlike(anchors), F.filter(F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: F.lower(x["s"]).rlike(anchors)))
     rows = rows.withColumn("suspects", lines)
     made = F.transform("suspects", lambda x: F.struct(x["line"].alias("line"), _classified(x["s"], model).alias("c")))
     made = F.transform(F.filter(made, lambda x: x["c"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability")))
