@@ -318,6 +318,15 @@ def test_random_runs_of_any_shape(encoder):
         assert not secrets.random_spans(spared, encoder), spared
 
 
+def test_random_runs_beside_base_spans(encoder):
+    """A run is masked whole unless base spans hold all of it."""
+    key = "q7Xp2Lm9Zt4Rk8Vb1Nc6Wd3Yf5Hs0Jg7Tq2Kx9Bv"
+    for text in (f"AKIA{'Q7ZX2M9K' * 2}/{key}", f"{key}-{'0f3a' * 6}"):
+        assert secrets.masked(f"see {text} here", secrets.all_spans(f"see {text} here", encoder)[1]) == "see [SECRET] here"
+    inside = f"password={key}"
+    assert [k for _, k, _ in secrets.all_spans(inside, encoder)[1]] == [0]
+
+
 def test_licence_gate_is_implied(spark):
     """Every line that ungated scoring confirms passes the gate, whatever of a template it holds."""
     words, r = set(licences.gate_words()), random.Random(8)

@@ -63,10 +63,19 @@ def random_spans(text: str, bpe: BytePairEncoder, ratio: float = CHARS_PER_TOKEN
     return out
 
 
+def _covered(span: Span, base: list[Span]) -> bool:
+    """Whether the base spans, in their order, leave no character of the span."""
+    at = span[0]
+    for s, _, e in base:
+        if s <= at:
+            at = max(at, e)
+    return at >= span[2]
+
+
 def all_spans(text: str, bpe: BytePairEncoder) -> tuple[list[Span], list[Span]]:
-    """(base spans, base and random spans). A run that a base span touches is not reported twice."""
+    """(base spans, base and random spans). A run wholly inside the base spans is not reported twice."""
     base = base_spans(text)
-    more = [s for s in random_spans(text, bpe) if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+    more = [s for s in random_spans(text, bpe) if not _covered(s, base)]
     return base, sorted(base + more)
 
 
