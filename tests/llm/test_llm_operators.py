@@ -166,6 +166,19 @@ def test_nearest(spark, monkeypatch, blocks):
     assert nearest.nearest(few.where("false"), F.expr("vec_id % 20 = 0")).count() == 0
 
 
+def test_nearest_tile_with_repeated_ids():
+    """Repeated ids count, as rows of their own, and a query's own id takes no neighbour's place."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-9, 9, (90, 8)).astype(np.float32)
+    v[:30], v[30:40] = v[0], v[0] * 2
+    ids = np.concatenate([np.zeros(35), np.arange(1, 56)]).astype(np.int64)
+    ids[25:30] = 3
+    q = np.flatnonzero(ids % 20 == 0)
+    got = nearest.tile(ids[q], v[q], ids, v, 5)
+    want = [(int(ids[i]), *x) for i in q for x in sorted(((int(c), float(v[i].astype(float) @ w)) for c, w in zip(ids, v) if c != ids[i]), key=lambda x: (-x[1], x[0]))[:5]]
+    assert sorted(got) == sorted(want)
+
+
 def _chat_want(turns):
     by = defaultdict(list)
     for c, t, role, text in turns:

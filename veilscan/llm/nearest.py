@@ -7,7 +7,8 @@ product up to a known quantisation error: with u = u' + e and v = v' + f
 upper bound reaches the k-th best lower bound survive; these are computed again
 from the original floats in double precision and kept in one heap per query.
 The result is exact. A vector that occurs many times is multiplied once per
-tile and stands for its k + 1 smallest ids, the only ones that can be returned.
+tile and stands for its 2 k smallest ids, each k times at most: without any one
+id, the query's own, k are left if there are as many.
 """
 
 from __future__ import annotations
@@ -48,6 +49,13 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _smallest(ids: np.ndarray, k: int) -> list[int]:
+    """The 2 k smallest of ascending ids, each k times at most."""
+    if len(ids) > k:
+        ids = ids[np.arange(len(ids)) - np.searchsorted(ids, ids) < k]
+    return ids[:2 * k].tolist()
+
+
 def tile(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, candidate, score) of each query's k best candidates of one tile."""
     order = np.argsort(cid, kind="stable")
@@ -55,7 +63,8 @@ def tile(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: in
     _, first, which = np.unique(cv.view(np.dtype((np.void, cv.dtype.itemsize * cv.shape[1]))).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(which, kind="stable")  # ids ascend within a vector
     ends = np.searchsorted(which[by], np.arange(len(first) + 1))
-    ids = [cid[by[a:min(b, a + k + 1)]].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    ids = [_smallest(cid[by[a:b]], k) for a, b in zip(ends[:-1], ends[1:])]
+    sole, single = np.array([x[0] for x in ids], np.int64), np.array([x[0] == x[-1] for x in ids], bool)
     cv = cv[first]
     qcodes, qs, qdec, qerr, _ = _quantise(qv)
     q64 = qv.astype(np.float64)
@@ -69,8 +78,8 @@ def tile(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: in
             near = _product(qcodes[rows], codes) * (qs[rows, None] * s)
             slack = qdec[rows, None] * err + qerr[rows, None] * norm
             low, high = near - slack, near + slack
-            many = min(k + 1, low.shape[1])  # one of them may be the query itself
-            floor = np.partition(low, low.shape[1] - many, axis=1)[:, low.shape[1] - many] if many == k + 1 else np.full(len(low), -np.inf)
+            low[(qid[rows, None] == sole[at:at + _STEP]) & single[at:at + _STEP]] = -np.inf  # only the query itself
+            floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] >= k else np.full(len(low), -np.inf)
             full = [h[0][0] if len(h) == k else -np.inf for h in heaps[rows]]
             keep = high >= np.maximum(floor, full)[:, None]
             qi, ci = np.nonzero(keep)
@@ -105,7 +114,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_i
     query of its dimension, except rows of the query's own id. Nearest first,
     ties to the smaller id; fewer than k if there are no more. Rows with a null
     id, or a vector that is null, zero or has null or non-finite components,
-    take no part. Repeated ids are candidates of their own; each query row of a
+    take no part. Repeated ids count: each row is a candidate of its own; each query row of a
     repeated id is answered by the best of all its rows. Other columns are
     ignored.
     """
