@@ -161,3 +161,46 @@ def test_helpers():
 def test_custom_copy_of_a_built_in_is_not_validated():
     s = ScannerBuilder().rule(Rule.prefix("mine", "ghp_", "low")).build()
     assert [f["rule_id"] for f in s.report("ghp_x")[0]] == ["mine"]
+
+
+@pytest.mark.parametrize(("pattern", "text", "found"), [
+    ("[[:alpha:]]+x", "ab1 cdx", ["cdx"]), ("[[:^alpha:]]+", "ab12", ["12"]), ("[a-z&&[^b]]+", "abcb", ["a", "c"]), ("[a-c--b]+", "abc", ["a", "c"]), ("[a-c~~b-d]+", "abcd", ["a", "d"]),
+    ("(?<n>a)b", "ab", ["ab"]), ("(?P<n>a)b", "ab", ["ab"]), (r"\x{41}b", "Ab", ["Ab"]), (r"\u{e9}", "é", ["é"]), ("(?-u:a)b", "ab", ["ab"]), ("a++", "aa", ["aa"]), ("(?:a|b){2}?c", "abc", ["abc"]),
+    ("x(?i)b|c", "xB C b", ["xB", "C"]), ("(?i)a(?-i)B", "aB AB ab", ["aB", "AB"]), ("a$", "a\n", []), ("(?m)a$", "a\n", ["a"]), (r"\p{Lu}\p{L}", "Éa é", ["Éa"]), (r"\d", "\u0663", ["\u0663"]), (r"(?-u:\d)", "\u0663", []),
+    (r"a\sb", "a\u3000b", ["a\u3000b"]), (r"a\sb", "a\x1cb", []), ("[]a]+", "]a", ["]a"]), ("[-a]+", "-a", ["-a"]), (r"\w+", "a\u0301\u200d", ["a\u0301\u200d"]), (r"\bab\b", "ab abc", ["ab"]),
+])
+def test_dialect(pattern, text, found):
+    s = ScannerBuilder().rule(Rule.pattern("p", pattern, "low")).build()
+    spans = [m[1:3] for m in s.matches(text)]
+    assert [text[a:b] for a, b in spans] == found
+
+
+@pytest.mark.parametrize("pattern", ["a(?=b)", "a(?!b)", "(?<=a)b", "(?<!a)b", r"(a)\1", "(?P=n)", "(?>a)", "a{,3}", "a{", "a{3,2}", "(", ")", "[a", r"\Z", r"\Q", "(?x)a", "(?U)a+", "[[:word", r"\p{Greek}", "(?-u:.)", "(?-u:[^a])", r"(?-u:\W)", "*a", "[b-a]"])
+def test_dialect_refuses(pattern):
+    with pytest.raises(RuleError) as e:
+        Rule.pattern("p", pattern, "low")
+    assert e.value.kind == "invalid_pattern"
+
+
+def test_the_gate_never_hides_a_match():
+    import pyarrow as pa
+
+    texts = [t for t, _ in test_built_in_rules.pytestmark[0].args[1]] + ["", None, "ab AB1Z-CD2Y-EF3X-GH4W", "PASSWORD\u3000:\u2003hunter2hunter2"]
+    every = ScannerBuilder().catalog("current", "financial", "personal").build()
+    texts += ["cvv=123", "card_number: 4111111111111111", "nhs_number: 943 476 5919", "ssn: 123-45-6789", "GB82WEST12345698765432", "RSSMRA85T10A562S", "44051401359", "otpauth://totp/x?secret=JBSWY3DPEHPK3PXP"]
+    got = every.column(pa.array(texts))
+    alone = [(i, m.rule) for i, t in enumerate(texts) for m in every.findings(t or "")]
+    assert list(zip(got.rows, got.rules)) == alone and got.review_rows == [i for i, t in enumerate(texts) if t and every.report(t)[1]]
+    assert len(every.possible(pa.array(["nothing to see", "a b c"]))) == 0
+    custom = ScannerBuilder().rule(Rule.pattern("p", "q.z", "low"), Rule.literal("l", "(x", "low")).build()
+    assert custom.column(pa.array(["a", "(x", "qyz"])).rows == [1, 2]
+
+
+def test_without_the_optional_automaton(monkeypatch):
+    from veilscan.kernel import engine
+
+    text = f"password = hunter2hunter2 ghp_{TOKEN}"
+    whole = default_scanner().findings(text)
+    monkeypatch.setattr(engine, "ahocorasick", None)
+    plan = engine._Plan(CURRENT)
+    assert plan.automaton is None and sorted(plan.raw(text)) == sorted(default_scanner().plan.raw(text)) and whole

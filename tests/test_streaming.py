@@ -51,7 +51,28 @@ def _check(rows):
 
 
 def test_batch_of_chunks(spark):
-    _check(c.stream_reports(spark.createDataFrame(_pieces(), _SCHEMA)).collect())
+    rows = c.stream_reports(spark.createDataFrame(_pieces(), _SCHEMA)).collect()
+    assert [(r.error, r.source_bytes) for r in rows if r.source_id == "d"] == [("unfinished", 4)]
+    _check([r for r in rows if r.source_id != "d"])
+
+
+def test_strict_batch(spark):
+    rows = c.stream_reports(spark.createDataFrame(_pieces()[:1], _SCHEMA), strict=True).collect()
+    assert [r.error for r in rows] == ["unsupported_rule_set"]
+
+
+def test_a_push_reads_its_fragment_only(monkeypatch):
+    read = []
+    monkeypatch.setattr(c, "_utf8_error", lambda data: read.append(len(data)))
+    s = c.Session(default_scanner())
+    for _ in range(100):
+        s.push("aé€😀".encode())
+    assert sum(read) == 100 * 10
+    for k in range(1, 4):
+        s = c.Session(default_scanner())
+        s.push("😀".encode()[:k])
+        s.push("😀".encode()[k:])
+        assert read[-1] == 4 and not c._open_bytes(s.held)
 
 
 def test_structured_streaming(spark, tmp_path):

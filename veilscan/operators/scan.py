@@ -10,19 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..kernel.engine import Coordinates, Scanner, default_scanner, review_spans
+from ..kernel.engine import Coordinates, Scanner, default_scanner
 from ..kernel.validators import CHECKS
 from ..model import CANDIDATES, CONFIDENCES, FINDINGS, SEVERITIES
 
-BATCH_ROWS = 512
-
-_LOCATION = pa.struct([(n, pa.int64()) for n in ("start", "end", "line", "column")])
-_FINDINGS = pa.list_(pa.struct([("rule_id", pa.string()), ("location", _LOCATION), ("severity", pa.string()), ("severity_ord", pa.int32()), ("confidence", pa.string()), ("confidence_ord", pa.int32()), ("remediation", pa.string())]))
-_CANDIDATES = pa.list_(pa.struct([("kind", pa.string()), ("location", _LOCATION), ("evidence", pa.string())]))
+_LOCATION = [pa.field(n, pa.int64()) for n in ("start", "end", "line", "column")]
 
 
 def sources(df: DataFrame, key: str, text: str, ordinal: str | None = None) -> DataFrame:
@@ -31,18 +28,45 @@ def sources(df: DataFrame, key: str, text: str, ordinal: str | None = None) -> D
     return df.select(F.col(key).alias("source_key"), order.alias("ordinal"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def scan(srcs: DataFrame, scanner: Scanner | None = None, keep_text: bool = False) -> DataFrame:
-    """sources -> entries(source_key, ordinal, source_bytes, findings, candidates[, text])."""
+def _lists(rows: list[int], n: int, places: list[tuple], more: list[tuple[str, pa.Array]], after: list[tuple[str, pa.Array]]) -> pa.Array:
+    """A list column of n rows from flat values; ``rows`` ascend."""
+    offsets = np.searchsorted(np.array(rows, np.int64), np.arange(n + 1)).astype(np.int32)
+    columns = np.array(places, np.int64).reshape(-1, 4).T
+    location = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=_LOCATION)
+    named = [*more, ("location", location), *after]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([v for _, v in named], names=[k for k, _ in named]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are cores; large inputs pass through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def scan(srcs: DataFrame, scanner: Scanner | None = None, keep_text: bool = False, suppress: bool = True) -> DataFrame:
+    """sources -> entries(source_key, ordinal, source_bytes, findings, candidates[, text]).
+
+    One Arrow pass without a shuffle. Texts that the scanner's gate excludes
+    cost one automaton pass over the Arrow buffer. Without ``suppress`` the
+    candidates that findings overlap stay.
+    """
     scanner = scanner or default_scanner()
     kept = ["source_key", "ordinal", *["text"] * keep_text]
+    rules = scanner.rules
+    of_rule = [
+        ("severity", [r.severity for r in rules], pa.string()), ("severity_ord", [SEVERITIES.index(r.severity) for r in rules], pa.int32()), ("confidence", [CHECKS[r.validator][2] for r in rules], pa.string()),
+        ("confidence_ord", [CONFIDENCES.index(CHECKS[r.validator][2]) for r in rules], pa.int32()), ("remediation", [r.remediation for r in rules], pa.string()),
+    ]
+    names = [r.id for r in rules]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                reports = [scanner.report(t or "") for t in part.column("text").to_pylist()]
-                cols = [part.column(k) for k in kept] + [part.column("source_bytes"), pa.array([r[0] for r in reports], _FINDINGS), pa.array([r[1] for r in reports], _CANDIDATES)]
-                yield pa.record_batch(cols, names=[*kept, "source_bytes", "findings", "candidates"])
+            n, got = batch.num_rows, scanner.column(batch.column("text"), suppress)
+            at = pa.array(got.rules, pa.int64())
+            findings = _lists(got.rows, n, got.places, [("rule_id", pa.array(names, pa.string()).take(at))], [(k, pa.array(v, t).take(at)) for k, v, t in of_rule])
+            same = lambda x: pa.array([x] * len(got.review_rows), pa.string())
+            review = _lists(got.review_rows, n, got.review_places, [("kind", same("recovery_like_code"))], [("evidence", same("structural"))])
+            yield pa.record_batch([*(batch.column(k) for k in kept), batch.column("source_bytes"), findings, review], names=[*kept, "source_bytes", "findings", "candidates"])
 
     rows = srcs.select("source_key", "ordinal", "text", F.octet_length("text").cast("long").alias("source_bytes"))
     fields = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept]
@@ -54,24 +78,29 @@ def scan(srcs: DataFrame, scanner: Scanner | None = None, keep_text: bool = Fals
 def accepted(srcs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """sources -> validated matches before normalisation: (source_key, rule_idx, rule_id, start, end, line, column, priority, confidence, ...)."""
     scanner = scanner or default_scanner()
-    names = ["rule_idx", "rule_id", "start", "end", "line", "column", "priority", "confidence", "confidence_ord", "severity", "severity_ord", "remediation"]
+    rules = scanner.rules
+    of_rule = [
+        ("rule_id", [r.id for r in rules], "string"), ("priority", [CHECKS[r.validator][1] for r in rules], "int"), ("confidence", [CHECKS[r.validator][2] for r in rules], "string"),
+        ("confidence_ord", [CONFIDENCES.index(CHECKS[r.validator][2]) for r in rules], "int"), ("severity", [r.severity for r in rules], "string"), ("severity_ord", [SEVERITIES.index(r.severity) for r in rules], "int"), ("remediation", [r.remediation for r in rules], "string"),
+    ]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            keys, rows = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = scanner.matches(text or "")
+            col, rows, idx, places = batch.column("text"), [], [], []
+            for row in scanner.possible(col).to_pylist():
+                text = col[row].as_py() or ""
+                found = scanner.matches(text)
                 where = Coordinates(text) if found else None
                 for m in found:
-                    r, p = scanner.rules[m.rule], where.location(m.start, m.end)
-                    keys.append(i)
-                    rows.append((m.rule, r.id, p["start"], p["end"], p["line"], p["column"], CHECKS[r.validator][1], m.confidence, CONFIDENCES.index(m.confidence), r.severity, SEVERITIES.index(r.severity), r.remediation))
-            kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
-            yield pa.record_batch([batch.column("source_key").take(pa.array(keys, pa.int64())), *cols], names=["source_key", *names])
-
-    kinds = "int string long long long long int string int string int string".split()
-    schema = ", ".join([f"source_key {srcs.schema['source_key'].dataType.simpleString()}", *(f"{n} {k}" for n, k in zip(names, kinds))])
+                    rows.append(row)
+                    idx.append(m.rule)
+                    places.append(where.place(m.start, m.end))
+            at = pa.array(idx, pa.int64())
+            cols = [batch.column("source_key").take(pa.array(rows, pa.int64())), pa.array(idx, pa.int32()), *(pa.array(c) for c in np.array(places, np.int64).reshape(-1, 4).T)]
+            cols += [pa.array(v, pa.string() if t == "string" else pa.int32()).take(at) for _, v, t in of_rule]
+            yield pa.record_batch(cols, names=["source_key", "rule_idx", "start", "end", "line", "column", *(k for k, _, _ in of_rule)])
+
+    schema = ", ".join([f"source_key {srcs.schema['source_key'].dataType.simpleString()}", "rule_idx int", "start long", "end long", "line long", "column long", *(f"{k} {t}" for k, _, t in of_rule)])
     return srcs.select("source_key", "text").mapInArrow(run, schema)
 
 
@@ -89,21 +118,14 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def review_candidates(srcs: DataFrame) -> DataFrame:
     """All grouped codes, before suppression: (source_key, start, end, line, column)."""
+    found = candidates(scan(srcs, Scanner(()), suppress=False))
+    return found.select("source_key", "start", "end", "line", "column")
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            keys, rows = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                spans = list(review_spans(text or ""))
-                where = Coordinates(text) if spans else None
-                for s, e in spans:
-                    keys.append(i)
-                    rows.append(tuple(where.location(s, e).values()))
-            cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)]
-            yield pa.record_batch([batch.column("source_key").take(pa.array(keys, pa.int64())), *cols], names=["source_key", "start", "end", "line", "column"])
-
-    schema = f"source_key {srcs.schema['source_key'].dataType.simpleString()}, start long, end long, line long, column long"
-    return srcs.select("source_key", "text").mapInArrow(run, schema)
+
+def suppressed(entries: DataFrame) -> DataFrame:
+    """Entries of ``scan(..., suppress=False)`` without the candidates that a finding of theirs overlaps."""
+    hit = lambda c: F.exists("findings", lambda f: (f["location"]["start"] < c["location"]["end"]) & (f["location"]["end"] > c["location"]["start"]))
+    return entries.withColumn("candidates", F.filter("candidates", lambda c: ~hit(c)))
 
 
 def suppress_candidates(candidates: DataFrame, findings: DataFrame) -> DataFrame:

@@ -19,27 +19,34 @@ from ..kernel.transforms import NAMESPACE, ShareMode, TransformError, component
 from .query import summary
 
 _SORTED = "array_sort(transform(findings, f -> struct(f.location.start as s, f.location.end as e, f.rule_id as r)))"
-_MERGED = """aggregate({0}, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) ->
-    if(size(a) > 0 and x.s < a[size(a) - 1].e,
-       concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].s as s, greatest(a[size(a) - 1].e, x.e) as e))),
-       concat(a, array(struct(x.s as s, x.e as e)))))"""
+# Spans that overlap merge, touching ones stay apart. With starts and ends sorted each on its own, a merged span begins at
+# the k-th start if the k - 1 least ends are no greater, and ends at the k-th end if the next start is no less.
+_BEGINS = "filter(transform(starts, (x, i) -> if(coalesce(get(ends, i - 1) <= x, true), x, null)), x -> x is not null)"
+_CLOSES = "filter(transform(ends, (x, i) -> if(coalesce(get(starts, i + 1) >= x, true), x, null)), x -> x is not null)"
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    ordered = rows.withColumn("starts", F.array_sort(F.transform("sorted", lambda x: x["s"]))).withColumn("ends", F.array_sort(F.transform("sorted", lambda x: x["e"])))
+    return ordered.withColumn("spans", F.arrays_zip(F.expr(_BEGINS).alias("s"), F.expr(_CLOSES).alias("e"))).drop("starts", "ends")
 
 
 def _prepared(entries: DataFrame, merge: bool) -> DataFrame:
     """Adds b (binary text), spans and error."""
     rows = entries.withColumn("b", F.encode("text", "UTF-8")).withColumn("sorted", F.expr(_SORTED))
-    rows = rows.withColumn("spans", F.expr(_MERGED.format("sorted"))) if merge else rows.withColumn("spans", F.col("sorted"))
+    sound = F.expr("not exists(sorted, x -> x.s >= x.e)")
+    rows = _merged(rows) if merge else rows.withColumn("spans", F.col("sorted"))
     inner = lambda at: f"({at} < length(b) and conv(hex(substring(b, cast({at} + 1 as int), 1)), 16, 10) between 128 and 191)"
     overlap = F.lit(False) if merge else F.expr("exists(sequence(1, size(spans)), i -> i < size(spans) and spans[i].s < spans[i - 1].e)")
-    error = (F.when(F.expr("exists(spans, x -> x.s >= x.e)"), "invalid_span")
-             .when(F.expr("exists(spans, x -> x.e > length(b))"), "span_out_of_bounds")
-             .when(F.expr(f"exists(spans, x -> {inner('x.s')} or {inner('x.e')})"), "invalid_utf8_boundary")
+    error = (F.when(~sound, "invalid_span")
+             .when(F.expr("exists(sorted, x -> x.e > length(b))"), "span_out_of_bounds")
+             .when(F.expr(f"exists(sorted, x -> {inner('x.s')} or {inner('x.e')})"), "invalid_utf8_boundary")
              .when((F.size("spans") > 1) & overlap, "overlapping_spans"))
     return rows.withColumn("error", error)
 
 
 def _spliced(rows: DataFrame, values: Column, strict: bool) -> DataFrame:
-    """content: the text between spans, joined by ``values`` (one per span)."""
+    """content: the text between spans, joined by ``values`` (one per span); rows with an error are not cut, as their spans may lie anywhere."""
+    rows = rows.withColumn("spans", F.when(F.col("error").isNull(), F.col("spans")).otherwise(F.slice("spans", 1, 0)))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x["e"]))
     ends = F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.length("b").cast("long")))
     rows = rows.withColumn("parts", F.zip_with(starts, ends, lambda a, e: F.decode(F.substring(F.col("b"), (a + 1).cast("int"), (e - a).cast("int")), "UTF-8"))).withColumn("values", values)
@@ -60,11 +67,15 @@ def template(entries: DataFrame, namespace: str = NAMESPACE, numbered: bool = Fa
     name = lambda x: F.when(tidy(x["r"]) == "", "finding").otherwise(tidy(x["r"]))
     head = f"<{component(namespace, NAMESPACE)}:"
 
-    def value(x: Column, i: Column) -> Column:
-        n = F.size(F.filter(F.slice("spans", F.lit(1), i + 1), lambda y: y["r"] == x["r"]))
-        return F.concat(F.lit(head), name(x), *([F.lit(":"), n.cast("string")] if numbered else []), F.lit(">"))
-
-    return _spliced(_prepared(entries, False), F.transform("spans", value), strict)
+    rows = _prepared(entries, False)
+    if not numbered:
+        return _spliced(rows, F.transform("spans", lambda x: F.concat(F.lit(head), name(x), F.lit(">"))), strict)
+    # a rule's n-th finding: its place among all findings sorted by rule, less the place of the rule's first one
+    rows = rows.withColumn("by_rule", F.array_sort(F.transform("spans", lambda x, i: F.struct(x["r"].alias("r"), i.alias("i")))))
+    rows = rows.withColumn("kinds", F.transform("by_rule", lambda t: t["r"]))
+    rows = rows.withColumn("first", F.expr("map_from_arrays(array_distinct(kinds), transform(array_distinct(kinds), r -> array_position(kinds, r)))"))
+    rows = rows.withColumn("n", F.array_sort(F.expr("transform(by_rule, (t, j) -> struct(t.i as i, j + 2 - first[t.r] as n))")))
+    return _spliced(rows, F.zip_with("spans", "n", lambda x, n: F.concat(F.lit(head), name(x), F.lit(":"), n["n"].cast("string"), F.lit(">"))), strict)
 
 
 def keyed(entries: DataFrame, mode: ShareMode, strict: bool = False) -> DataFrame:

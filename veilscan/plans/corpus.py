@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import spread
+
 _H = "md5(cast(o_orderkey as varchar(20)))"
 TEXT = f"""concat('# order ', cast(o_orderkey as varchar(20)), ' café', chr(10), case o_orderkey % 8
  when 0 then concat('GITHUB_TOKEN=ghp_', {_H})
@@ -23,7 +25,7 @@ TEXT = f"""concat('# order ', cast(o_orderkey as varchar(20)), ' café', chr(10)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority"))
     return orders.select(F.col("o_orderkey").alias("source_key"), F.col("o_orderkey").cast("long").alias("ordinal"), F.expr(TEXT).alias("text"))
 
 

@@ -13,6 +13,7 @@ from ..kernel.transforms import ShareMode
 from ..operators import query as q
 from ..operators import scan as s
 from ..operators import transform as t
+from ..session import cut
 from ..sources.sinks import display_findings, report_json
 from ..streaming.chunks import stream_reports
 from ..streaming.incremental import apply_edits
@@ -64,14 +65,14 @@ for _name, (_f, _where) in _FILTERS.items():
 def _sorted(spark: SparkSession, d: str, by: str, descending: bool) -> DataFrame:
     """The order shown as a position: exact ranks over range partitions, so that no task holds all rows."""
     chosen = q.Query(_entries(spark, d))
-    rows = chosen.rows()
+    rows = chosen.rows().select("source_key", "start", "end", "line", "column", "rule_id", "severity_ord", "confidence_ord")
     keys = chosen.sort_keys(by, descending)
-    part = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("p", F.spark_partition_id())
-    part = part.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*keys)))
-    sizes = part.groupBy("p").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("p").alias("p2"), F.col("n").alias("n2"))
-    base = sizes.join(before, F.col("p2") < F.col("p"), "left").groupBy("p").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("base"))
-    return part.join(F.broadcast(base), "p").select((F.col("base") + F.col("i")).cast("long").alias("position"), "source_key", "rule_id", "start")
+    # two cuts: bounds are sampled from written findings, not by a second scan, and positions use one set of bounds
+    part = cut(cut(rows).repartitionByRange(*keys).withColumn("p", F.spark_partition_id()))
+    place = part.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*keys)))
+    sizes = part.groupBy("p").agg(F.count("*").alias("n"))  # one row a range
+    base = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("base"))
+    return place.join(F.broadcast(base), "p").select((F.col("base") + F.col("i")).cast("long").alias("position"), "source_key", "rule_id", "start")
 
 
 _TIES = ["source_key", '"start"', '"end"', "line", '"column"', "rule_id", "severity_ord", "confidence_ord"]
@@ -103,7 +104,7 @@ _add("explain_candidate", lambda spark, d: q.explain_candidates(s.candidates(_en
 
 _add("op_exact_span_resolve", lambda spark, d: s.resolve_exact_spans(s.accepted(corpus.sources(spark, d))).select("source_key", "rule_id", "start", "end", "priority"), 'select source_key, rule_id, "start", "end", priority from found')
 _add("op_rank", lambda spark, d: s.ranked(s.resolve_exact_spans(s.accepted(corpus.sources(spark, d)))).select("source_key", "rule_id", F.col("rank").cast("long").alias("rank")), 'select source_key, rule_id, row_number() over (partition by source_key order by "start", "end", priority desc, confidence_ord desc, severity_ord desc, rule_id) as rank from found')
-_add("op_suppress", lambda spark, d: s.suppress_candidates(s.review_candidates(corpus.sources(spark, d)), s.findings(_entries(spark, d))).select("source_key", "start", "end", "line", "column"), 'select source_key, "start", "end", line, "column" from review r where not exists (select 1 from found f where f.source_key = r.source_key and f."start" < r."end" and f."end" > r."start")')
+_add("op_suppress", lambda spark, d: s.candidates(s.suppressed(s.scan(corpus.sources(spark, d), suppress=False))).select("source_key", "start", "end", "line", "column"), 'select source_key, "start", "end", line, "column" from review r where not exists (select 1 from found f where f.source_key = r.source_key and f."start" < r."end" and f."end" > r."start")')
 _add("prefix_tokens", lambda spark, d: corpus.sources(spark, d).select("source_key", F.explode(prefix_tokens(F.col("text"), "ghp_")).alias("token")).where(has_form(F.col("token"), "github")).select("source_key", F.length("token").cast("long").alias("token_chars")), "select source_key, cast(length(v) as bigint) as token_chars from found where rule_id = 'github.classic-pat'")
 
 _add("tx_redact", lambda spark, d: t.redact(_entries(spark, d, True)).select("source_key", "content"), """
@@ -152,7 +153,7 @@ QUERIES["sink_display"] = lambda spark, d: display_findings(s.findings(_entries(
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Every conversation as one source of byte fragments; fragments end anywhere, also inside characters."""
-    turns = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id is not null")
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
     texts = turns.groupBy("conv_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, coalesce(text, '') as text))), x -> x.text), '\\n')").alias("text"))
     cut = texts.select("conv_id", F.encode("text", "UTF-8").alias("b")).select("conv_id", "b", F.posexplode(F.expr("sequence(0, length(b) div 97)")).alias("seq", "i"))
     pieces = cut.select(F.col("conv_id").alias("source_id"), F.col("seq").cast("long").alias("seq"), F.expr("substring(b, i * 97 + 1, 97)").alias("chunk"), F.expr("i = length(b) div 97").alias("eof"))

@@ -3,6 +3,10 @@
 A fragment may end inside a character or between CR and LF. A source is
 reported once, at its end, exactly as the whole text would be; its first error
 ends it and nothing of it is reported.
+
+ERRORS lists what can end a source. Errors of number widths and of a static
+storage estimate have no counterpart: offsets are Python integers, and the
+limit counts the bytes that are held.
 """
 
 from __future__ import annotations
@@ -16,9 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..kernel.engine import SUFFIX_BYTES, Scanner, default_scanner, translate
 from ..catalog import HINTS, RuleSpec
+from ..kernel.dialect import translate
+from ..kernel.engine import SUFFIX_BYTES, Scanner, default_scanner
 
+#: unsupported_rule_set and the three limits come from the configuration, not_active follows another error,
+#: out_of_order and unfinished come from a table of fragments that is not a whole source.
+ERRORS = ("unsupported_rule_set", "not_active", "invalid_utf8", "incomplete_utf8", "candidate_limit_exceeded", "result_limit_exceeded", "storage_limit_exceeded", "out_of_order", "unfinished")
 RESULT = "source_id string, error string, source_bytes long, report string"
 _STATE = "next_seq long, held binary, done boolean"
 
@@ -61,54 +69,68 @@ class Session:
             self.error = "unsupported_rule_set"
 
     def push(self, data: bytes) -> str | None:
+        """Takes a fragment; only it and the last character's open bytes are decoded."""
         if self.error:
             return "not_active"
-        self.held += data
+        carry = _open_bytes(self.held)
         most = self.limits.max_stream_storage_bytes
+        fresh = bytes(self.held[len(self.held) - carry:]) + data
+        self.held += data
         if most is not None and len(self.held) > most:
             self.error = "storage_limit_exceeded"
         else:
-            self.error = _utf8_error(bytes(self.held), False)
+            self.error = _utf8_error(fresh)
         return self.error
 
     def finish(self) -> tuple[str | None, dict | None]:
         if self.error:
             return self.error, None
-        self.error = _utf8_error(bytes(self.held), True)
-        if not self.error:
-            text = self.held.decode()
-            lim = self.limits
-            if lim.max_candidates is not None and sum(1 for _ in self.scanner.plan.raw(text)) > lim.max_candidates:
-                self.error = "candidate_limit_exceeded"
-            else:
-                found, review = self.scanner.report(text)
-                if lim.max_retained_results is not None and len(self.scanner.matches(text)) + len(review) > lim.max_retained_results:
-                    self.error = "result_limit_exceeded"
-        if self.error:
+        if _open_bytes(self.held):
+            self.error = "incomplete_utf8"
+            return self.error, None
+        text, lim = self.held.decode(), self.limits
+        raw = list(self.scanner.plan.raw(text))
+        if lim.max_candidates is not None and len(raw) > lim.max_candidates:
+            self.error = "candidate_limit_exceeded"
             return self.error, None
+        accepted = self.scanner.matches(text, raw)
+        found, spans = self.scanner.both(text, matches=accepted)
+        if lim.max_retained_results is not None and len(accepted) + len(spans) > lim.max_retained_results:
+            self.error = "result_limit_exceeded"
+            return self.error, None
+        rows, review = self.scanner.rows(text, found, spans)
         self.error = "finished"
-        return None, {"findings": found, "candidates": review}
+        return None, {"findings": rows, "candidates": review}
+
 
+def _open_bytes(data: bytes | bytearray) -> int:
+    """How many last bytes are the beginning of a character that goes on: 0 to 3."""
+    for back in range(1, min(3, len(data)) + 1):
+        lead = data[-back]
+        if lead >= 0xC0:
+            return back if back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) else 0
+        if lead < 0x80:
+            return 0
+    return 0
 
-def _utf8_error(data: bytes, at_end: bool) -> str | None:
+
+def _utf8_error(data: bytes) -> str | None:
     try:
         data.decode()
     except UnicodeDecodeError as e:
-        if e.reason == "unexpected end of data":
-            return "incomplete_utf8" if at_end else None
-        return "invalid_utf8"
+        return None if e.reason == "unexpected end of data" else "invalid_utf8"
     return None
 
 
-def _fold(scanner: Scanner, limits: Limits, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(scanner: Scanner, limits: Limits, strict: bool, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     next_seq, held, done = state.get if state.exists else (0, b"", False)
     rows = pd.concat(list(frames)).sort_values("seq")
     error, report, size = None, None, 0
-    session = Session(scanner, limits, held=bytearray(held))
+    session = Session(scanner, limits, strict, bytearray(held))
     for seq, chunk, eof in zip(rows["seq"], rows["chunk"], rows["eof"]):
         if done:
             break  # after its end a source takes no more
-        error = None if seq == next_seq else "out_of_order"
+        error = session.error or (None if seq == next_seq else "out_of_order")
         next_seq = int(seq) + 1
         error = error or session.push(bytes(chunk or b""))
         if not error and eof:
@@ -117,23 +139,29 @@ def _fold(scanner: Scanner, limits: Limits, key: tuple, frames: Iterator[pd.Data
             done, size = True, len(session.held)
     state.update((next_seq, b"" if done else bytes(session.held), done))
     if error or report is not None:
-        yield pd.DataFrame({"source_id": [str(key[0])], "error": [error], "source_bytes": [size], "report": [None if report is None else json.dumps(report)]}, dtype=object)
+        yield pd.DataFrame({"source_id": [None if key[0] is None else str(key[0])], "error": [error], "source_bytes": [size], "report": [None if report is None else json.dumps(report)]}, dtype=object)
+
 
+def stream_reports(chunks: DataFrame, scanner: Scanner | None = None, limits: Limits | None = None, strict: bool = False) -> DataFrame:
+    """Streaming or batch chunks(source_id, seq, chunk, eof) -> RESULT rows, one per ended source; seq counts from 0.
 
-def stream_reports(chunks: DataFrame, scanner: Scanner | None = None, limits: Limits | None = None) -> DataFrame:
-    """Streaming or batch chunks(source_id, seq, chunk, eof) -> RESULT rows, one per ended source; seq counts from 0."""
+    A batch ends every source: one without a last fragment has the error
+    ``unfinished``. A stream waits for it. With ``strict`` every source of a rule
+    set that a bounded session could not run has ``unsupported_rule_set``.
+    """
     scanner, limits = scanner or default_scanner(), limits or Limits()
     rows = chunks.select(chunks["source_id"].cast("string").alias("source_id"), "seq", "chunk", "eof")
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _fold(scanner, limits, key, frames, state)
+        return _fold(scanner, limits, strict, key, frames, state)
 
     if rows.isStreaming:
         return rows.groupBy("source_id").applyInPandasWithState(fold, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
     def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = list(fold(key, iter([frame]), _Once()))
-        return out[0] if out else pd.DataFrame({"source_id": [], "error": [], "source_bytes": [], "report": []}, dtype=object)
+        size = sum(len(c) for c in frame["chunk"] if c is not None)
+        return out[0] if out else pd.DataFrame({"source_id": [None if key[0] is None else str(key[0])], "error": ["unfinished"], "source_bytes": [size], "report": [None]}, dtype=object)
 
     return rows.groupBy("source_id").applyInPandas(whole, RESULT)
 

@@ -1,4 +1,8 @@
-"""Documents changed edit by edit; after each edit the report is that of the whole text."""
+"""Documents changed edit by edit; after each edit the report is that of the whole text, which is scanned again.
+
+STATUSES lists what an edit can come to. Errors of number widths have no
+counterpart here.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,19 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..kernel.engine import Scanner, default_scanner
+from ..kernel.engine import Scanner, default_scanner, review_spans
 
 LAST_REVISION = (1 << 64) - 1
+STATUSES = ("applied", "not_active", "stale_revision", "invalid_range", "invalid_utf8_boundary", "revision_overflow", "candidate_limit_exceeded", "cache_limit_exceeded", "result_limit_exceeded", "transaction_storage_limit_exceeded", "unknown_document")
 RESULT = "doc_id string, seq long, status string, active boolean, revision long, source_bytes long, report string"
 
 
 @dataclass(frozen=True)
 class Limits:
+    """None: no limit. Cache records are the matches and codes of the text before the edit and after it, together."""
+
     max_candidates: int | None = None
+    max_retained_cache_records: int | None = None
     max_materialized_results: int | None = None
     max_transaction_storage_bytes: int | None = None
 
@@ -30,6 +38,7 @@ class Document:
     limits: Limits = field(default_factory=Limits)
     revision: int = 0
     active: bool = True
+    records: int = 0
 
     def __post_init__(self) -> None:
         self.data = self.text.encode()
@@ -41,11 +50,17 @@ class Document:
         lim = self.limits
         if lim.max_transaction_storage_bytes is not None and len(text.encode()) + len(self.data) > lim.max_transaction_storage_bytes:
             return "transaction_storage_limit_exceeded", {}
-        if lim.max_candidates is not None and sum(1 for _ in self.scanner.plan.raw(text)) > lim.max_candidates:
+        raw = list(self.scanner.plan.raw(text))
+        if lim.max_candidates is not None and len(raw) > lim.max_candidates:
             return "candidate_limit_exceeded", {}
-        found, review = self.scanner.report(text)
+        held = len(raw) + sum(1 for _ in review_spans(text))
+        if lim.max_retained_cache_records is not None and held + self.records > lim.max_retained_cache_records:
+            return "cache_limit_exceeded", {}
+        found, spans = self.scanner.both(text, matches=self.scanner.matches(text, raw))
+        found, review = self.scanner.rows(text, found, spans)
         if lim.max_materialized_results is not None and len(found) + len(review) > lim.max_materialized_results:
             return "result_limit_exceeded", {}
+        self.records = held
         return None, {"findings": found, "candidates": review}
 
     def apply_edit(self, expected_revision: int, start: int, end: int, replacement: str) -> str:
@@ -76,10 +91,8 @@ def apply_edits(documents: DataFrame, edits: DataFrame, scanner: Scanner | None
     scanner, limits = scanner or default_scanner(), limits or Limits()
 
     def fold(key: tuple, docs: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        rows = []
         if len(docs):
             doc = Document(scanner, docs["text"].iloc[0] or "", limits)
-            rows.append((-1, "opened"))
             out = [(str(key[0]), -1, "opened", True, 0, len(doc.data), json.dumps(doc.report))]
             for e in log.sort_values("seq").itertuples(index=False):
                 status = doc.apply_edit(int(e.expected_revision), int(e.start), int(e.end), e.replacement or "")
