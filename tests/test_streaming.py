@@ -113,6 +113,22 @@ def test_edit_log(spark):
     assert len(json.loads(got["a", 1].report)["findings"]) == 1
 
 
+def test_repeated_documents_and_null_ids(spark):
+    docs = spark.createDataFrame([("a", "y"), ("a", "x"), (None, "n")], "doc_id string, text string")
+    log = spark.createDataFrame([("a", 0, 0, 0, 1, "zz"), (None, 0, 0, 0, 0, "q")], "doc_id string, seq long, expected_revision long, start long, end long, replacement string")
+    got = sorted((r.doc_id or "", r.seq, r.status, r.source_bytes) for r in inc.apply_edits(docs, log).collect())
+    assert got == [("", -1, "opened", 1), ("", 0, "applied", 2), ("a", -1, "duplicate_document", 1), ("a", -1, "opened", 1), ("a", 0, "applied", 2)]
+    none = spark.createDataFrame([], "source_id string, seq long, chunk binary, eof boolean")
+    assert c.stream_reports(none).count() == 0 and inc.apply_edits(docs.limit(0), log.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, 0, None, True), ("b", 0, b"x", True)], "source_id string, seq long, chunk binary, eof boolean")
+    assert sorted((r.source_id or "", r.error, r.source_bytes) for r in c.stream_reports(nulls).collect()) == [("", None, 0), ("b", None, 1)]
+
+
+def test_cache_limit():
+    d = inc.Document(default_scanner(), "password = hunter2hunter2", inc.Limits(max_retained_cache_records=1))
+    assert d.records == 1 and d.apply_edit(0, 0, 0, " ") == "cache_limit_exceeded" and not d.active
+
+
 @pytest.mark.parametrize("text", ["", "no findings"])
 def test_empty(text):
     s = c.Session(default_scanner())

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..catalog import CURRENT
 from ..functions.checks import has_form, prefix_tokens
 from ..kernel.engine import Rule, ScannerBuilder
 from ..kernel.transforms import ShareMode
@@ -14,10 +15,11 @@ from ..operators import query as q
 from ..operators import scan as s
 from ..operators import transform as t
 from ..session import cut
-from ..sources.sinks import display_findings, report_json
+from ..model import REMEDIATIONS
+from ..sources.sinks import display_findings, report_json, report_text
 from ..streaming.chunks import stream_reports
 from ..streaming.incremental import apply_edits
-from . import corpus
+from . import cases, corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,7 +106,39 @@ _add("explain_candidate", lambda spark, d: q.explain_candidates(s.candidates(_en
 
 _add("op_exact_span_resolve", lambda spark, d: s.resolve_exact_spans(s.accepted(corpus.sources(spark, d))).select("source_key", "rule_id", "start", "end", "priority"), 'select source_key, rule_id, "start", "end", priority from found')
 _add("op_rank", lambda spark, d: s.ranked(s.resolve_exact_spans(s.accepted(corpus.sources(spark, d)))).select("source_key", "rule_id", F.col("rank").cast("long").alias("rank")), 'select source_key, rule_id, row_number() over (partition by source_key order by "start", "end", priority desc, confidence_ord desc, severity_ord desc, rule_id) as rank from found')
-_add("op_suppress", lambda spark, d: s.candidates(s.suppressed(s.scan(corpus.sources(spark, d), suppress=False))).select("source_key", "start", "end", "line", "column"), 'select source_key, "start", "end", line, "column" from review r where not exists (select 1 from found f where f.source_key = r.source_key and f."start" < r."end" and f."end" > r."start")')
+
+
+def _cases(spark: SparkSession, d: str, suppress: bool = True) -> DataFrame:
+    return s.scan(cases.sources(spark, d), cases.scanner(), suppress=suppress)
+
+
+def _add_case(name: str, query: Query, sql: str) -> None:
+    QUERIES[name], ORACLE_SQL[name] = query, cases.sql() + sql
+
+
+_add_case("rule_findings", lambda spark, d: s.findings(_cases(spark, d)).select(_FLAT), f"select {_FLAT_SQL} from src join want using (n) join rules using (rule_id)")
+_add_case("rule_sources", lambda spark, d: _cases(spark, d).select("source_key", "source_bytes", F.size("findings").alias("findings"), F.size("candidates").alias("candidates")), """
+select source_key, cast(strlen(text) as bigint) as source_bytes, cast((select count(*) from want where want.n = src.n) as integer) as findings,
+ cast((select count(*) from codes where codes.n = src.n and not hidden) as integer) as candidates from src""")
+_add_case("op_validate", lambda spark, d: s.accepted(cases.sources(spark, d), cases.scanner()).groupBy("rule_id").agg(F.countDistinct("source_key", "start", "end").alias("places")).where("rule_id not like 'generic.%'"), """
+select rule_id, count(*) as places from src join want using (n) where rule_id not like 'generic.%' group by rule_id""")
+_add_case("op_review_detect", lambda spark, d: s.review_candidates(cases.sources(spark, d)), 'select source_key, "start", "end", line, "column" from src join codes using (n)')
+_add_case("op_suppress", lambda spark, d: s.candidates(s.suppressed(_cases(spark, d, suppress=False))).select("source_key", "start", "end", "line", "column"), 'select source_key, "start", "end", line, "column" from src join codes using (n) where not hidden')
+_add_case("op_suppress_join", lambda spark, d: s.suppress_candidates(s.review_candidates(cases.sources(spark, d)), s.findings(_cases(spark, d))).select("source_key", "start", "end", "line", "column"), 'select source_key, "start", "end", line, "column" from src join codes using (n) where not hidden')
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of findings of one source that overlap without being on one span."""
+    rows = s.resolve_exact_spans(s.accepted(cases.sources(spark, d), cases.scanner())).select("source_key", "rule_id", "start", "end")
+    by_source = rows.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "rule_id"))).alias("f"))
+    pairs = by_source.select("source_key", F.explode("f").alias("a"), "f").select("source_key", "a", F.explode("f").alias("b"))
+    return pairs.where("a.rule_id < b.rule_id and a.start < b.end and b.start < a.end and (a.start <> b.start or a.end <> b.end)").select("source_key", F.col("a.rule_id").alias("first_rule"), F.col("b.rule_id").alias("second_rule"))
+
+
+_add_case("op_partial_overlap_keep", _overlaps, """
+select source_key, a.rule_id as first_rule, b.rule_id as second_rule from src join want a using (n) join want b using (n)
+ where a.rule_id < b.rule_id and a."start" < b."end" and b."start" < a."end" and (a."start" <> b."start" or a."end" <> b."end")""")
+
 _add("prefix_tokens", lambda spark, d: corpus.sources(spark, d).select("source_key", F.explode(prefix_tokens(F.col("text"), "ghp_")).alias("token")).where(has_form(F.col("token"), "github")).select("source_key", F.length("token").cast("long").alias("token_chars")), "select source_key, cast(length(v) as bigint) as token_chars from found where rule_id = 'github.classic-pat'")
 
 _add("tx_redact", lambda spark, d: t.redact(_entries(spark, d, True)).select("source_key", "content"), """
@@ -115,7 +149,7 @@ _add("tx_template", lambda spark, d: t.template(_entries(spark, d, True), namesp
 select s.source_key, replace(replace(s.text, coalesce(c.vs[2], chr(1)), concat('<safe-text:', c.rs[2], ':1>')), coalesce(c.vs[1], chr(1)), concat('<safe-text:', c.rs[1], ':1>')) as content from src s left join cuts c using (source_key)""")
 _add("tx_pseudonymize", lambda spark, d: t.pseudonymize(_entries(spark, d, True), KEY).select("source_key", "content"))
 _add("tx_synthesize", lambda spark, d: t.synthesize(_entries(spark, d, True), KEY).select("source_key", "content"))
-_add("tx_bundle_build", lambda spark, d: t.bundle(_entries(spark, d, True), ShareMode("redact"))[0])
+_add("tx_bundle_build", lambda spark, d: t.bundle(_entries(spark, d, True), ShareMode("redact"))[0], ORACLE_SQL["tx_redact"][len(corpus.SQL):].replace("select s.source_key,", "select s.source_key as key,"))
 _add("tx_bundle_manifest", lambda spark, d: t.bundle(_entries(spark, d, True), ShareMode("template"))[1].select("mode", "summary.*"), """
 select 'template' as mode, count(*) as scanned_sources, cast(sum(source_bytes) as bigint) as scanned_bytes, count(*) filter (nf > 0) as reports_with_findings, count(*) filter (nf = 0) as reports_without_findings,
  cast(sum(nf) as bigint) as total_findings, cast(sum(nc) as bigint) as total_candidates, count(*) filter (nc > 0) as reports_with_candidates,
@@ -146,28 +180,71 @@ QUERIES["scan_pages"] = _table_findings("pages", "page_id", "html")
 QUERIES["scan_benchmark"] = _table_findings("benchmark", "item_id", "text")
 QUERIES["doc_auth_tokens"] = lambda spark, d: QUERIES["scan_documents"](spark, d).where("rule_id = 'generic.auth-token'").groupBy("source_key").agg(F.count("*").alias("n"))
 ORACLE_SQL["doc_auth_tokens"] = """select doc_id as source_key, cast(len(regexp_extract_all(text, 'token = "[0-9a-f]{16,}')) as bigint) as n from documents where regexp_matches(text, 'token = "[0-9a-f]{16,}')"""
+ORACLE_SQL["scan_benchmark"] = """select item_id as source_key, '' as rule_id, cast(0 as bigint) as "start", cast(0 as bigint) as "end", cast(0 as bigint) as line, cast(0 as bigint) as "column", '' as severity, '' as confidence, '' as remediation
+ from benchmark where regexp_matches(text, '[=:_]')"""  # the items are plain prose: no assignment, no token
+
+_MODES = {"none": "matcher_only", **dict.fromkeys(("github", "gitlab", "stripe", "cloudflare", "slack", "telegram", "jwt", "nats", "rubygems", "tailscale"), "deterministic")}
+_RULES = ", ".join(
+    "(" + ", ".join([str(i), f"'{r.id}'", f"'{r.kind if r.kind == 'prefix' else 'pattern'}'", f"'{_MODES.get(r.validator, 'contextual')}'", f"'{r.severity}'", str(["info", "low", "medium", "high", "critical"].index(r.severity)), f"'{r.remediation}'", *(f"'{x}'" for x in REMEDIATIONS[r.remediation])]) + ")"
+    for i, r in enumerate(CURRENT)
+)
 QUERIES["rule_metadata"] = lambda spark, d: s.rule_metadata(spark)
-QUERIES["sink_json"] = lambda spark, d: report_json(_entries(spark, d))
-QUERIES["sink_display"] = lambda spark, d: display_findings(s.findings(_entries(spark, d)), s.rule_metadata(spark)).select("source_key", "start", "display")
+ORACLE_SQL["rule_metadata"] = f"select * from (values {_RULES}) t(position, rule_id, kind, detection_mode, severity, severity_ord, remediation, remediation_label, remediation_message)"
+
+_PLACED = """select source_key, list(f order by "start") as fs from (select source_key, "start", {0} as f from found) group by source_key"""
+_CODES = """select source_key, list(c) as cs from (select source_key, {0} as c from review) group by source_key"""
+_STATUS = "case when nf > 0 then 'findings' when nc > 0 then 'review' else 'clean' end"
+_add("sink_json", lambda spark, d: report_json(_entries(spark, d)), f"""
+, placed as ({_PLACED.format("""concat('{"rule_id":"', rule_id, '","start":', "start", ',"end":', "end", ',"line":', line, ',"column":', "column", ',"severity":"', severity, '","confidence":"', confidence, '","remediation":"', remediation, '"}')""")}),
+coded as ({_CODES.format("""concat('{"kind":"', kind, '","location":{"start":', "start", ',"end":', "end", ',"line":', line, ',"column":', "column", '},"evidence":"', evidence, '"}')""")})
+select source_key, concat('{{"source":"', source_key, '","status":"', {_STATUS}, '","findings_count":', nf, ',"candidates_count":', nc, ',"findings":[', coalesce(array_to_string(fs, ','), ''), '],"candidates":[', coalesce(array_to_string(cs, ','), ''), ']}}') as json
+ from entries left join placed using (source_key) left join coded using (source_key)""")
+_add("sink_human", lambda spark, d: report_text(_entries(spark, d)), f"""
+, placed as ({_PLACED.format("""concat('finding: ', rule_id, ' ', line, ':', "column", ' bytes=', "start", '..', "end", ' severity=', severity, ' confidence=', confidence, ' remediation=', remediation, chr(10))""")}),
+coded as ({_CODES.format("""concat('candidate: ', line, ':', "column", ' bytes=', "start", '..', "end", ' kind=', kind, ' evidence=', evidence, chr(10))""")})
+select source_key, concat('source: ', source_key, chr(10), 'status: ', {_STATUS}, chr(10), 'findings: ', nf, chr(10), 'candidates: ', nc, chr(10), coalesce(array_to_string(fs, ''), ''), coalesce(array_to_string(cs, ''), '')) as text
+ from entries left join placed using (source_key) left join coded using (source_key)""")
+_LABELS = "case remediation " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in REMEDIATIONS.items()) + " end"
+_add("sink_display", lambda spark, d: display_findings(s.findings(_entries(spark, d)), s.rule_metadata(spark)).select("source_key", "start", "display"), f"""
+select source_key, "start", concat(severity, ' · ', confidence, ' confidence · ', rule_id, ' · ', line, ':', "column", ' · ', {_LABELS}) as display from found""")
+
+
+def _cut_up(texts: DataFrame, key: str) -> DataFrame:
+    """Fragments of 97 bytes that end anywhere, also inside characters."""
+    cut = texts.select(key, F.encode("text", "UTF-8").alias("b")).select(key, "b", F.posexplode(F.expr("sequence(0, length(b) div 97)")).alias("seq", "i"))
+    return cut.select(F.col(key).alias("source_id"), F.col("seq").cast("long").alias("seq"), F.expr("substring(b, i * 97 + 1, 97)").alias("chunk"), F.expr("i = length(b) div 97").alias("eof"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Every conversation as one source of byte fragments; fragments end anywhere, also inside characters."""
+    """Every conversation as one source of byte fragments; rows without an id are one source of their own."""
     turns = spark.read.parquet(f"{d}/conversations.parquet")
     texts = turns.groupBy("conv_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, coalesce(text, '') as text))), x -> x.text), '\\n')").alias("text"))
-    cut = texts.select("conv_id", F.encode("text", "UTF-8").alias("b")).select("conv_id", "b", F.posexplode(F.expr("sequence(0, length(b) div 97)")).alias("seq", "i"))
-    pieces = cut.select(F.col("conv_id").alias("source_id"), F.col("seq").cast("long").alias("seq"), F.expr("substring(b, i * 97 + 1, 97)").alias("chunk"), F.expr("i = length(b) div 97").alias("eof"))
-    return stream_reports(pieces)
+    return stream_reports(_cut_up(texts, "conv_id"))
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The derived corpus in fragments: per source its size, error and findings."""
+    place = "location struct<start:bigint,end:bigint,line:bigint,column:bigint>"
+    report = F.from_json("report", f"findings array<struct<rule_id:string,{place}>>, candidates array<struct<{place}>>")
+    rows = stream_reports(_cut_up(corpus.sources(spark, d), "source_key")).withColumn("r", report)
+    found = F.array_join(F.transform("r.findings", lambda f: F.format_string("%s:%d:%d:%d:%d", f["rule_id"], *(f["location"][x] for x in ("start", "end", "line", "column")))), ",")
+    return rows.select("source_id", "error", "source_bytes", found.alias("found"), F.size("r.candidates").alias("candidates"))
 
 
 QUERIES["st_reports"] = _chunks
+_add("st_corpus", _streamed, """
+, placed as (select source_key, string_agg(concat(rule_id, ':', "start", ':', "end", ':', line, ':', "column"), ',' order by "start") as found from found group by 1)
+select cast(source_key as varchar) as source_id, cast(null as varchar) as error, source_bytes, coalesce(placed.found, '') as found, cast(nc as integer) as candidates from entries left join placed using (source_key)""")
 
 
 def _edits(spark: SparkSession, d: str) -> DataFrame:
     srcs = corpus.sources(spark, d).select(F.col("source_key").cast("string").alias("doc_id"), "text")
     edit = lambda seq, rev, start, end, text: srcs.select("doc_id", F.lit(seq).alias("seq"), F.lit(rev).alias("expected_revision"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(text).alias("replacement"))
     log = edit(0, 0, 0, 0, "x = 1\n").union(edit(1, 0, 0, 1, "stale")).union(edit(2, 1, 0, 6, "password: hunter2hunter2\n"))
-    return apply_edits(srcs, log).select("doc_id", "seq", "status", "revision", "source_bytes", "report")
+    rows = apply_edits(srcs, log).withColumn("r", F.from_json("report", "findings array<struct<rule_id:string>>, candidates array<struct<kind:string>>"))
+    return rows.select("doc_id", "seq", "status", "revision", "source_bytes", F.size("r.findings").cast("long").alias("findings"), F.size("r.candidates").cast("long").alias("candidates"))
 
 
-QUERIES["inc_apply_edit"] = _edits
+_add("inc_apply_edit", _edits, """
+, steps(seq, status, revision, more_bytes, more_findings) as (values (-1, 'opened', 0, 0, 0), (0, 'applied', 1, 6, 0), (1, 'stale_revision', 1, 6, 0), (2, 'applied', 2, 25, 1))
+select cast(source_key as varchar) as doc_id, cast(seq as bigint) as seq, status, cast(revision as bigint) as revision, source_bytes + more_bytes as source_bytes, nf + more_findings as findings, nc as candidates from entries, steps""")

@@ -21,6 +21,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
+def partitions(df: DataFrame) -> int:
+    """Shuffle partitions as configured: for folds whose work is not in the bytes, which coalescing by size would crowd into few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: lineage ends here and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

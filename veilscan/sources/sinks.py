@@ -36,6 +36,16 @@ def display_summary(row: DataFrame) -> DataFrame:
     return row.withColumn("display", F.format_string(form, "scanned_sources", "reports_with_findings", "reports_without_findings", "scanned_bytes", "total_findings", "total_candidates", "reports_with_candidates", "critical", "high", "medium", "low", "info"))
 
 
+def report_text(entries: DataFrame) -> DataFrame:
+    """(source_key, text): the report for people, as ``render_text`` gives it for one source, as Catalyst expressions."""
+    status = F.when(F.size("findings") > 0, "findings").when(F.size("candidates") > 0, "review").otherwise("clean")
+    place = lambda x: F.format_string("%d:%d bytes=%d..%d", x["location"]["line"], x["location"]["column"], x["location"]["start"], x["location"]["end"])
+    head = F.array(F.concat(F.lit("source: "), F.col("source_key").cast("string")), F.concat(F.lit("status: "), status), F.format_string("findings: %d", F.size("findings")), F.format_string("candidates: %d", F.size("candidates")))
+    found = F.transform("findings", lambda f: F.format_string("finding: %s %s severity=%s confidence=%s remediation=%s", f["rule_id"], place(f), f["severity"], f["confidence"], F.coalesce(f["remediation"], F.lit("none"))))
+    review = F.transform("candidates", lambda c: F.format_string("candidate: %s kind=%s evidence=%s", place(c), c["kind"], c["evidence"]))
+    return entries.select("source_key", F.concat(F.array_join(F.concat(head, found, review), "\n"), F.lit("\n")).alias("text"))
+
+
 def status_of(found: list[dict], review: list[dict]) -> str:
     return "findings" if found else "review" if review else "clean"
 

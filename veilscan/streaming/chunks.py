@@ -17,12 +17,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..catalog import HINTS, RuleSpec
 from ..kernel.dialect import translate
 from ..kernel.engine import SUFFIX_BYTES, Scanner, default_scanner
+from ..session import partitions
 
 #: unsupported_rule_set and the three limits come from the configuration, not_active follows another error,
 #: out_of_order and unfinished come from a table of fragments that is not a whole source.
@@ -122,24 +124,26 @@ def _utf8_error(data: bytes) -> str | None:
     return None
 
 
-def _fold(scanner: Scanner, limits: Limits, strict: bool, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    next_seq, held, done = state.get if state.exists else (0, b"", False)
-    rows = pd.concat(list(frames)).sort_values("seq")
-    error, report, size = None, None, 0
-    session = Session(scanner, limits, strict, bytearray(held))
-    for seq, chunk, eof in zip(rows["seq"], rows["chunk"], rows["eof"]):
-        if done:
-            break  # after its end a source takes no more
-        error = session.error or (None if seq == next_seq else "out_of_order")
-        next_seq = int(seq) + 1
-        error = error or session.push(bytes(chunk or b""))
+class _Source:
+    """One source's session and place in its fragments."""
+
+    def __init__(self, scanner: Scanner, limits: Limits, strict: bool, next_seq: int = 0, held: bytes = b"", done: bool = False) -> None:
+        self.session, self.next_seq, self.done = Session(scanner, limits, strict, bytearray(held)), next_seq, done
+
+    def take(self, seq: int, chunk: bytes | None, eof: bool) -> tuple[str | None, int, str | None] | None:
+        """(error, source_bytes, report) if this fragment ends the source; after its end a source takes no more."""
+        if self.done:
+            return None
+        error = self.session.error or (None if seq == self.next_seq else "out_of_order") or self.session.push(bytes(chunk or b""))
+        self.next_seq, report = int(seq) + 1, None
         if not error and eof:
-            error, report = session.finish()
-        if error or eof:
-            done, size = True, len(session.held)
-    state.update((next_seq, b"" if done else bytes(session.held), done))
-    if error or report is not None:
-        yield pd.DataFrame({"source_id": [None if key[0] is None else str(key[0])], "error": [error], "source_bytes": [size], "report": [None if report is None else json.dumps(report)]}, dtype=object)
+            error, report = self.session.finish()
+        self.done = bool(error or eof)
+        return (error, len(self.session.held), None if report is None else json.dumps(report)) if self.done else None
+
+    def close(self) -> tuple[str | None, int, str | None] | None:
+        """The end of a batch ends the source."""
+        return None if self.done else ("unfinished", len(self.session.held), None)
 
 
 def stream_reports(chunks: DataFrame, scanner: Scanner | None = None, limits: Limits | None = None, strict: bool = False) -> DataFrame:
@@ -153,23 +157,33 @@ def stream_reports(chunks: DataFrame, scanner: Scanner | None = None, limits: Li
     rows = chunks.select(chunks["source_id"].cast("string").alias("source_id"), "seq", "chunk", "eof")
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _fold(scanner, limits, strict, key, frames, state)
+        source = _Source(scanner, limits, strict, *(state.get if state.exists else ()))
+        part = pd.concat(list(frames)).sort_values("seq")
+        ends = [r for r in map(source.take, part["seq"], part["chunk"], part["eof"]) if r]
+        state.update((source.next_seq, b"" if source.done else bytes(source.session.held), source.done))
+        for error, size, report in ends:
+            yield pd.DataFrame({"source_id": [key[0]], "error": [error], "source_bytes": [size], "report": [report]}, dtype=object)
 
     if rows.isStreaming:
         return rows.groupBy("source_id").applyInPandasWithState(fold, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = list(fold(key, iter([frame]), _Once()))
-        size = sum(len(c) for c in frame["chunk"] if c is not None)
-        return out[0] if out else pd.DataFrame({"source_id": [None if key[0] is None else str(key[0])], "error": ["unfinished"], "source_bytes": [size], "report": [None]}, dtype=object)
-
-    return rows.groupBy("source_id").applyInPandas(whole, RESULT)
-
-
-class _Once:
-    """The state of a batch: there is none before, and none is kept."""
-
-    exists = False
-
-    def update(self, _: tuple) -> None:
-        pass
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fragments come sorted, so one source is held at a time, across Arrow batches too."""
+        source, name, out = None, None, []
+        for batch in frames:
+            for key, seq, chunk, eof in zip(*(batch.column(c).to_pylist() for c in ("source_id", "seq", "chunk", "eof"))):
+                if source is None or key != name:
+                    out.append((name, source.close() if source else None))
+                    source, name = _Source(scanner, limits, strict), key
+                out.append((name, source.take(seq, chunk, eof)))
+            yield _results(out)
+            out = []
+        yield _results([(name, source.close() if source else None)])
+
+    return rows.repartition(partitions(rows), "source_id").sortWithinPartitions("source_id", "seq").mapInArrow(run, RESULT)
+
+
+def _results(ends: list[tuple]) -> pa.RecordBatch:
+    rows = [(name, *end) for name, end in ends if end]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["source_id", "error", "source_bytes", "report"])

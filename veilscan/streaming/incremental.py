@@ -7,15 +7,18 @@ counterpart here.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..kernel.engine import Scanner, default_scanner, review_spans
+from ..session import partitions
 
 LAST_REVISION = (1 << 64) - 1
-STATUSES = ("applied", "not_active", "stale_revision", "invalid_range", "invalid_utf8_boundary", "revision_overflow", "candidate_limit_exceeded", "cache_limit_exceeded", "result_limit_exceeded", "transaction_storage_limit_exceeded", "unknown_document")
+STATUSES = ("applied", "not_active", "stale_revision", "invalid_range", "invalid_utf8_boundary", "revision_overflow", "candidate_limit_exceeded", "cache_limit_exceeded", "result_limit_exceeded", "transaction_storage_limit_exceeded", "unknown_document", "duplicate_document")
 RESULT = "doc_id string, seq long, status string, active boolean, revision long, source_bytes long, report string"
 
 
@@ -87,20 +90,35 @@ class Document:
 
 
 def apply_edits(documents: DataFrame, edits: DataFrame, scanner: Scanner | None = None, limits: Limits | None = None) -> DataFrame:
-    """documents(doc_id, text), edits(doc_id, seq, expected_revision, start, end, replacement) -> RESULT, a row per document (seq -1) and edit."""
-    scanner, limits = scanner or default_scanner(), limits or Limits()
+    """documents(doc_id, text), edits(doc_id, seq, expected_revision, start, end, replacement) -> RESULT, a row per document (seq -1) and edit.
 
-    def fold(key: tuple, docs: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        if len(docs):
-            doc = Document(scanner, docs["text"].iloc[0] or "", limits)
-            out = [(str(key[0]), -1, "opened", True, 0, len(doc.data), json.dumps(doc.report))]
-            for e in log.sort_values("seq").itertuples(index=False):
-                status = doc.apply_edit(int(e.expected_revision), int(e.start), int(e.end), e.replacement or "")
-                out.append((str(key[0]), int(e.seq), status, doc.active, doc.revision, len(doc.data), json.dumps(doc.report)))
-        else:
-            out = [(str(key[0]), int(s), "unknown_document", False, None, None, None) for s in log["seq"]]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    left = documents.select(documents["doc_id"].cast("string").alias("doc_id"), "text").groupBy("doc_id")
-    right = edits.select(edits["doc_id"].cast("string").alias("doc_id"), "seq", "expected_revision", "start", "end", "replacement").groupBy("doc_id")
-    return left.cogroup(right).applyInPandas(fold, RESULT)
+    Documents and edits meet by one shuffle on doc_id and a sort; a document is
+    held only while its edits run. Of rows that repeat a doc_id the least text
+    is edited, the others have the status ``duplicate_document``.
+    """
+    scanner, limits = scanner or default_scanner(), limits or Limits()
+    none = lambda kind: F.lit(None).cast(kind)
+    left = documents.select(F.col("doc_id").cast("string").alias("doc_id"), none("long").alias("seq"), none("long").alias("expected_revision"), none("long").alias("start"), none("long").alias("end"), F.coalesce(F.col("text"), F.lit("")).alias("body"), F.lit(False).alias("is_edit"))
+    right = edits.select(F.col("doc_id").cast("string").alias("doc_id"), *(F.col(c).cast("long").alias(c) for c in ("seq", "expected_revision", "start", "end")), F.coalesce(F.col("replacement"), F.lit("")).alias("body"), F.lit(True).alias("is_edit"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, name, first = None, None, True
+        for batch in frames:
+            out = []
+            for r in batch.to_pylist():
+                if first or r["doc_id"] != name:
+                    doc, name, first = None, r["doc_id"], False
+                if r["is_edit"] and doc is None:
+                    out.append((name, r["seq"], "unknown_document", False, None, None, None))
+                    continue
+                if r["is_edit"]:
+                    status = doc.apply_edit(r["expected_revision"], r["start"], r["end"], r["body"])
+                elif doc is None:
+                    doc, status = Document(scanner, r["body"], limits), "opened"
+                else:
+                    status = "duplicate_document"
+                out.append((name, r["seq"] if r["is_edit"] else -1, status, doc.active, doc.revision, len(doc.data), json.dumps(doc.report)))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
+
+    return left.unionByName(right).repartition(partitions(left), "doc_id").sortWithinPartitions("doc_id", "is_edit", "seq", "body").mapInArrow(run, RESULT)
