@@ -125,7 +125,7 @@ def test_repeated_documents_and_null_ids(spark):
 
 
 def test_cache_limit():
-    d = inc.Document(default_scanner(), "password = hunter2hunter2", inc.Limits(max_retained_cache_records=1))
+    d = inc.Document(ScannerBuilder().rule(Rule.literal("a", "b", "low")).build(), "b", inc.Limits(max_retained_cache_records=1))
     assert d.records == 1 and d.apply_edit(0, 0, 0, " ") == "cache_limit_exceeded" and not d.active
 
 
