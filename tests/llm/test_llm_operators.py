@@ -217,6 +217,28 @@ def test_chat_parts():
         chat.parse_parts('[{"type":"video"}]')
 
 
+def test_chat_frames_of_typed_parts(spark, monkeypatch):
+    """The table operator flattens parts, with the loss and attachments at their places; repeated pieces read back whole."""
+    monkeypatch.setattr(chat, "PIECE_CHARS", 50)
+    parts = '[{"type":"text","text":"see <|this|>"},{"type":"image","ref":"a.png","width":56,"height":30},{"type":"text","text":" and "},{"type":"document","ref":"c.pdf","pages":2}]'
+    rows = [(c, 2 * t + k, ("user", "assistant")[k], f"said {c} {t}" if k else None, None if k else parts) for c in range(8) for t in range(3) for k in range(2)]
+    frame = spark.createDataFrame(rows + [(None, 0, None, None, None)], "conv_id long, turn long, role string, text string, content string").withColumn("loss", F.lit(1))
+    by = defaultdict(list)
+    for r in sorted(chat.format_conversations(frame).collect(), key=lambda r: (r.part, r.seq)):
+        by[r.conv_id].append(r)
+    assert set(by) == {None, *range(8)}
+    for c in range(8):
+        text = "".join(r.formatted for r in by[c])
+        turns = [(role, [chat.Text(t)] if t is not None else chat.parse_parts(p)) for i, _, role, t, p in rows if i == c]
+        assert text == chat.format_turns(turns).text
+        said = [r.formatted[x.start:x.end] for r in by[c] for x in r.loss]
+        assert said == [f"said {c} {t}" for t in range(3)]
+        found = [(x.kind, x.ref, x.tokens, r.formatted[x.place:].startswith(f"<|{x.kind}_")) for r in by[c] for x in r.attachments]
+        assert found == [("image", "a.png", 4, True), ("document", "c.pdf", 512, True)] * 3
+    with pytest.raises(Exception, match="video"):
+        chat.format_conversations(spark.createDataFrame([(0, 0, "user", '[{"type":"video"}]')], "conv_id long, turn long, role string, content string")).collect()
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.BytePairEncoder(bpe.parse_ranks(bpe.read_ranks(RANKS)), PATTERN)
@@ -248,13 +270,26 @@ def test_bpe_appends_and_edits(encoder):
     for end in range(len(data) + 1):
         assert table.ids(end) == encoder.merge(data[:end])
     r = random.Random(1)
-    text, ids = "the quick  brown fox\njumps over", None
-    ids = encoder.encode(text)
-    for _ in range(60):
+    text = "the quick  brown fox\njumps over"
+    whole = encoder.encoded(text)
+    for _ in range(300):
         a = r.randint(0, len(text))
         b = r.randint(a, min(len(text), a + 6))
-        text, ids = encoder.edit(text, ids, a, b, r.choice(["", " ", "x", " new words ", "é", "\n"]))
-        assert ids == encoder.encode(text)
+        new = r.choice(["", " ", "x", " new words ", "é", "\n", "  ", "a b", "\u3000"])
+        text, whole = text[:a] + new + text[b:], encoder.edit(whole, a, b, new)
+        assert whole.text == text and whole.ids == encoder.encode(text) and len(whole.ids) == sum(whole.counts)
+
+
+def test_bpe_edits_encode_little(library, monkeypatch):
+    """An edit of one character encodes the chunks around it, however long the text and its chunks are."""
+    enc = bpe.BytePairEncoder(bpe.parse_ranks(bpe.read_ranks(RANKS)), PATTERN)
+    text = " ".join(f"{'long' * 20}{i}" for i in range(300))
+    whole = enc.encoded(text)
+    made = []
+    monkeypatch.setattr(bpe.BytePairEncoder, "piece", lambda self, t, f=bpe.BytePairEncoder.piece: made.append(t) or f(self, t))
+    at = len(text) // 2
+    after = enc.edit(whole, at, at + 1, "x")
+    assert len(made) <= 16 and after.ids.tolist() == library.encode_ordinary(text[:at] + "x" + text[at + 1:])
 
 
 def test_bpe_frames(spark, library):

@@ -5,7 +5,7 @@ encoding: the token t ending there whose neighbour, the last token of the
 prefix before t, is compatible with t (the two tokens' joined bytes encode to
 just these two). Storing that token for each prefix gives the encoding of every
 prefix at once: appending bytes extends the table, and an edit re-encodes only
-the pieces that it touches.
+the chunks around it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -43,6 +44,7 @@ def read_ranks(path: str) -> bytes:
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
+
 _ODD_SPACES = re.compile(r"\s | \s")
 
 
@@ -106,6 +108,20 @@ class PrefixTable:
         return out
 
 
+@dataclass
+class Encoded:
+    """A text as its chunks, with the characters and tokens of each, so that an edit finds its place without encoding anything."""
+
+    chunks: list[str]
+    sizes: array
+    counts: array
+    ids: array
+
+    @property
+    def text(self) -> str:
+        return "".join(self.chunks)
+
+
 class BytePairEncoder:
     """Encoder and decoder for one rank table and one pre-tokenising pattern."""
 
@@ -182,24 +198,27 @@ class BytePairEncoder:
         recent = self._chunks.get
         return array("I", chain.from_iterable([recent(c) or self.chunk(c) for c in self.chunks(text)]))
 
-    def edit(self, text: str, ids: array, start: int, end: int, new: str) -> tuple[str, array]:
-        """Replaces text[start:end]; tokens of the chunks that stay are copied, not encoded again.
+    def encoded(self, text: str) -> Encoded:
+        chunks = [c for c in self.chunks(text) if c]
+        coded = list(map(self.chunk, chunks))
+        return Encoded(chunks, array("q", map(len, chunks)), array("q", map(len, coded)), array("I", chain.from_iterable(coded)))
+
+    def edit(self, whole: Encoded, start: int, end: int, new: str) -> Encoded:
+        """The encoding with text[start:end] replaced; only the chunks around the edit are cut and encoded again.
 
-        Chunk borders do not depend on text further away than the neighbouring
-        chunk, so chunks equal at either end keep their tokens.
+        A border depends on the two characters at either side of it alone, so
+        borders more than a chunk away from the edit stay.
         """
-        old, changed = self.chunks(text), text[:start] + new + text[end:]
-        fresh = self.chunks(changed)
-        head = 0
-        while head < min(len(old), len(fresh)) and old[head] == fresh[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(old), len(fresh)) - head and old[-1 - tail] == fresh[-1 - tail]:
-            tail += 1
-        front = sum(len(self.chunk(c)) for c in old[:head])
-        back = sum(len(self.chunk(c)) for c in old[len(old) - tail:])
-        middle = array("I", chain.from_iterable(map(self.chunk, fresh[head:len(fresh) - tail])))
-        return changed, ids[:front] + middle + ids[len(ids) - back:]
+        ends = np.cumsum(np.frombuffer(whole.sizes, np.int64)) if whole.sizes else np.zeros(0, np.int64)
+        first = max(0, int(np.searchsorted(ends, start, "right")) - 2)
+        last = min(len(ends), int(np.searchsorted(ends, end, "left")) + 3)
+        begin = int(ends[first - 1]) if first else 0
+        old = "".join(whole.chunks[first:last])
+        fresh = self.encoded(old[:start - begin] + new + old[end - begin:])
+        counts = np.frombuffer(whole.counts, np.int64) if whole.counts else np.zeros(0, np.int64)
+        front, back = int(counts[:first].sum()), int(counts[:last].sum())
+        join = lambda x, y, i, j: x[:i] + y + x[j:]
+        return Encoded(join(whole.chunks, fresh.chunks, first, last), join(whole.sizes, fresh.sizes, first, last), join(whole.counts, fresh.counts, first, last), join(whole.ids, fresh.ids, front, back))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

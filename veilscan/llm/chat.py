@@ -163,76 +163,109 @@ class Digest:
 
 
 _DIGEST = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
-_PIECE = [("part", pa.int64()), ("seq", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.list_(pa.int64())))]
-_SCHEMA = pa.schema([("conv_id", pa.int64()), *_DIGEST, *_PIECE])
+_LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("place", pa.int64()), ("tokens", pa.int64())]))
+_PIECES = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("seq", pa.int64()), ("formatted", pa.string()), ("loss", _LOSS), ("attachments", _ATTACHED), ("inside", pa.bool_())])
+_PIECES_SQL = "conv_id long, part long, seq long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<kind:string,ref:string,place:long,tokens:long>>, inside boolean"
+_READ = pa.schema([("conv_id", pa.int64()), *_DIGEST, *[_PIECES.field(i) for i in range(1, 5)]])
 _SQL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_READ_SQL = f"{_SQL}, part long, seq long, formatted string, loss array<struct<start:long,end:long>>"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(_SCHEMA)
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, list]], bool]]:
-    """(conversation, some of its turns, whether more follow in this partition); at most PIECE_CHARS of text are held."""
+def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, list]]]]:
+    """(conversation, some of its turns); at most PIECE_CHARS of text are held."""
     key, held, size = None, [], 0
     for batch in frames:
-        cols = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]
-        for conv, role, text in zip(*cols):
+        cols = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "content")]
+        for conv, role, text, content in zip(*cols):
             if held and (conv != key or size > PIECE_CHARS):
-                yield key, held, conv == key
+                yield key, held
                 held, size = [], 0
             key = conv
-            held.append((role or "", [Text(text or "")]))
-            size += len(text or "")
+            held.append((role or "", [Text(text or "")] if content is None else parse_parts(content)))
+            size += len(text or "") if content is None else len(content)
     if held:
-        yield key, held, False
+        yield key, held
 
 
 def _format(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of conversations that lie inside this range; pieces of those that may reach its borders."""
+    """Formatted pieces in order; ``inside`` marks those of conversations that surely begin and end in this range."""
     part = TaskContext.get().partitionId()
-    first, waiting, done = True, [], []
+    done: list[tuple] = []
+    waiting: list[Formatted] = []
+    conv_of, first, reaches, seq = None, True, True, 0
 
-    def digest(pieces: list[Formatted]) -> tuple:
-        d = Digest()
+    def rows(pieces: list[Formatted], inside: bool) -> list[tuple]:
+        nonlocal seq
+        out = []
         for p in pieces:
-            d.add(p.text, p.loss)
-        return d.row()
-
-    def piece(conv: int | None, seq: int, p: Formatted) -> tuple:
-        return (conv, None, None, None, None, None, part, seq, p.text, [list(x) for x in p.loss])
-
-    open_, seq, conv_of = False, 0, None
-    for conv, turns, more in _runs(frames):
-        if waiting and conv_of != conv:  # the last one ended inside the range
-            done.append((conv_of, *digest(waiting), None, None, None, None))
-            waiting = []
-        if not first and conv_of != conv:
-            open_, seq = False, 0
-        if first:
-            open_ = True  # may have begun in an earlier range
-        conv_of, first = conv, False
-        made = format_turns(turns)
-        if open_:
-            yield _rows([piece(conv, seq, made)])
+            out.append((conv_of, part, seq, p.text, [{"start": a, "end": b} for a, b in p.loss], [dict(zip(("kind", "ref", "place", "tokens"), x)) for x in p.attachments], inside))
             seq += 1
-        else:
-            waiting.append(made)
-            if sum(len(p.text) for p in waiting) > 8 * PIECE_CHARS:  # long: as if it reached a border
-                open_ = True
-                for p in waiting:
-                    yield _rows([piece(conv, seq, p)])
-                    seq += 1
-                waiting = []
-        if len(done) >= 1000:
-            yield _rows(done)
+        return out
+
+    for conv, turns in _runs(frames):
+        if first or conv != conv_of:
+            done += rows(waiting, True)  # what waited has ended in the range
+            waiting, reaches, conv_of, seq = [], first, conv, 0  # the first one may have begun in an earlier range
+        first = False
+        waiting.append(format_turns(turns))
+        if reaches or sum(len(p.text) for p in waiting) > 8 * PIECE_CHARS:  # long: as if it reached a border
+            reaches = True
+            done += rows(waiting, False)
+            waiting = []
+        if sum(len(r[3]) for r in done) > PIECE_CHARS or len(done) >= 1000:
+            yield _batch(done, _PIECES)
             done = []
-    if waiting:  # may go on in a later range
-        for p in waiting:
-            done.append(piece(conv_of, seq, p))
-            seq += 1
-    yield _rows(done)
+    yield _batch(done + rows(waiting, False), _PIECES)  # the last one may go on in a later range
+
+
+def format_conversations(turns: DataFrame) -> DataFrame:
+    """turns(conv_id, turn, role, text and, or instead, content) -> (conv_id, part, seq, formatted, loss, attachments, inside).
+
+    ``content`` is a JSON array of typed parts; where it is not null it takes
+    the place of text. An unknown part fails the job; none is dropped.
+    A conversation's formatted text is its pieces in the order of (part, seq):
+    one piece, unless it is very long or lies on the border of two ranges.
+    Places in loss (the assistant's texts, escaped) and attachments (kind,
+    reference, placeholder's place, tokens it expands to) count characters from
+    the piece's start. ``inside`` tells that a conversation has no piece in
+    another range.
+
+    Turns go by turn, then role, then text or content (nulls first), so ties
+    and repeated rows have one order. Null role or text counts as empty; null
+    conv_id rows are one conversation; extra columns are ignored. Rows are
+    dealt by ranges of that order, so a conversation of any length is formatted
+    by many tasks.
+    """
+    pick = lambda c: F.col(c).cast("string") if c in turns.columns else F.lit(None).cast("string")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", pick("role").alias("role"), pick("text").alias("text"), pick("content").alias("content"))
+    said = F.left(F.coalesce("content", "text"), F.lit(64))
+    dealt = rows.withColumn("said", said).repartitionByRange("conv_id", "turn", "role", "said").sortWithinPartitions("conv_id", "turn", "role", "said", "text", "content")
+    return dealt.drop("said").mapInArrow(_format, _PIECES_SQL)
+
+
+def _read_inside(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of conversations that lie inside their range, read back from the pieces; the other pieces pass."""
+    key, d = None, None
+    for batch in frames:
+        out = []
+        for conv, part, seq, text, loss, inside in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "seq", "formatted", "loss", "inside"))):
+            if d is not None and (not inside or conv != key):
+                out.append((key, *d.row(), None, None, None, None))
+                d = None
+            if not inside:
+                out.append((conv, None, None, None, None, None, part, seq, text, loss))
+                continue
+            if d is None:
+                key, d = conv, Digest()
+            d.add(text, [(x["start"], x["end"]) for x in loss])
+        yield _batch(out, _READ)
+    yield _batch([(key, *d.row(), None, None, None, None)] if d is not None else [], _READ)
 
 
 def _join(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,29 +277,21 @@ def _join(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if d is not None:
                     out.append((key, *d.row(), None, None, None, None))
                 key, d = conv, Digest()
-            d.add(text, loss)
+            d.add(text, [(x["start"], x["end"]) for x in loss])
     if d is not None:
         out.append((key, *d.row(), None, None, None, None))
-    yield _rows(out).select([f.name for f in _SCHEMA][:6])
+    yield _batch(out, _READ).select([f.name for f in _READ][:6])
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """One row per conv_id of turns(conv_id, turn, role, text), read back from its formatted text.
-
-    Turns go by turn, then role, then text (nulls first), so ties and repeated
-    rows have one order. Null role or text counts as empty; a null conv_id is a
-    conversation of its own; extra columns are ignored.
+    """One row per conv_id of turns, read back from what ``format_conversations`` makes of them.
 
-    Rows are dealt by ranges of (conv_id, turn), so a conversation of any
-    length is formatted by many tasks. One that lies inside a range is digested
-    there. Pieces of one that reaches a border meet in order in one stream,
-    since a SHA-256 of a whole conversation can only be made in order; that
-    stream holds one piece at a time.
+    A conversation that lies inside a range is digested there. Pieces of one
+    that reaches a border meet in order in one stream, since a SHA-256 of a
+    whole conversation can only be made in order; that stream holds one piece
+    at a time.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = f"{_SQL}, part long, seq long, formatted string, loss array<array<long>>"
-    made = cut(dealt.mapInArrow(_format, schema))
+    made = cut(format_conversations(turns).mapInArrow(_read_inside, _READ_SQL))
     names = [c.split()[0] for c in _SQL.split(", ")]
     pieces = made.where("part is not null").select("conv_id", "part", "seq", "formatted", "loss")
     joined = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").select("conv_id", "formatted", "loss").mapInArrow(_join, _SQL)

@@ -7,13 +7,15 @@ from html import unescape
 
 import numpy as np
 
-_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*+)>)""", re.S)
+# A quote opens a value only after "=", as in the standard; one that never closes is an ordinary character.
+_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+)>)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements by their part in the HTML standard.
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "noembed", "object", "canvas", "math", "audio", "video"}
-_HIDDEN = {"select", "option", "button", "datalist", "optgroup"}
+_RAW = {"script", "style", "title", "textarea", "template", "iframe", "noembed", "noframes"}
+_MEDIA = {"svg", "canvas", "audio", "video"}
+_HIDDEN = {"select", "option", "button", "datalist", "optgroup", *_MEDIA}
 _VOID = {"input", "meta", "link", "img", "hr", "base", "area", "col", "embed", "source", "track", "wbr"}
 BLOCKS = ("#text", "html", "body", "head", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "nav", "header", "footer", "aside", "form", "fieldset", "figure", "figcaption", "blockquote", "pre", "address", "details", "summary", "center", "hgroup", "caption", "menu", "dialog", "search", "legend")
 _INDEX = {t: i for i, t in enumerate(BLOCKS)}
@@ -66,7 +68,15 @@ def parse(html: str) -> Page:
     open_count = dict.fromkeys(BLOCKS, 0)
     run: list[str] = []
     run_link = in_link = 0
-    hidden: list[str] = []
+    hidden: list[str] = []  # open elements without text of their own; the next block ends them
+    hidden_count: dict[str, int] = {}
+    closers: dict[str, int] = {}
+
+    def closed(name: str) -> bool:
+        """Whether an end tag of that name is still to come."""
+        if name not in closers:
+            closers[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}[\s/>]", html, re.I)), default=-1)
+        return closers[name] >= at
     at, size = 0, len(html)
 
     def add(name: str, bits: int) -> int:
@@ -92,8 +102,10 @@ def parse(html: str) -> Page:
     def pop() -> None:
         open_count[BLOCKS[tag[stack.pop()]]] -= 1
 
+    last = html.rfind(">") + 1
     while at < size:
-        m = _TOKEN.search(html, at)
+        # no tag ends past the last >, but a comment may reach the end
+        m = _TOKEN.search(html, at) if at < last or html.find("<!", at) >= 0 else None
         if m is None:
             break
         name = m[2]
@@ -108,18 +120,27 @@ def parse(html: str) -> Page:
         closing = m[1] == "/"
         if name in _RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
+                end = closed(name) and re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
                 stop = html.find(">", end.start()) if end else -1
-                at = size if end is None or stop < 0 else stop + 1
+                if stop >= 0:
+                    at = stop + 1
+                elif name in ("script", "style"):  # never shown: the rest is code
+                    at = size
+                # any other without an end hides nothing
                 if name == "title" and not hidden:
                     flush()
             continue
         if name in _HIDDEN:
             if closing:
-                if name in hidden:
-                    del hidden[hidden.index(name):]
-            elif not m[3].endswith("/") and len(hidden) < 16:
+                if name in hidden_count and hidden_count[name]:
+                    while True:
+                        gone = hidden.pop()
+                        hidden_count[gone] -= 1
+                        if gone == name:
+                            break
+            elif not m[3].endswith("/") and (name not in _MEDIA or closed(name)):
                 hidden.append(name)
+                hidden_count[name] = hidden_count.get(name, 0) + 1
             continue
         if name not in _INDEX:
             if name == "br":
@@ -131,6 +152,7 @@ def parse(html: str) -> Page:
             continue
         flush()
         hidden.clear()
+        hidden_count.clear()
         in_link = 0
         if closing:
             if open_count[name]:

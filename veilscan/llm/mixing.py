@@ -21,6 +21,7 @@ and nothing per document.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, restored, shielded
 
 #: Labelled documents that the classifier is fitted on, at most; taken in order of a hash of their id.
 SAMPLE = 4000
@@ -211,7 +212,7 @@ def solve(rows: DataFrame, targets: Mapping[str, float], total: float | None = N
         else:
             got, m = measured()
             break
-    return steps, of, {"domains": domains, "have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "steps": len(steps), "sure": of and of[1]}
+    return steps, of, {"domains": domains, "have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "steps": len(steps), "sure": of and of[1], "met": bool(np.abs(got - want).max() <= 1e-4 * max(1.0, total))}
 
 
 def least(of: Bound) -> Column:
@@ -242,12 +243,29 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], tota
     With keep_text all columns of docs stay, else doc_id only. Null or empty
     text has no tokens and the rate of its posterior. Repeated rows are mixed
     each on its own (equal rows round alike). An empty table gives no rows.
-    Columns of docs named as the added ones are replaced.
+    A column of docs named as an added one is replaced; any other name may occur.
+    The report says what the targets want and what the rates reach; ``met`` is
+    false where no rates reach them (within 1e-4 of the total) or the steps ran
+    out, and a warning is given.
     """
-    docs = docs.drop("t", "h", "tokens", "posterior", "rate", "copies")
-    model = fit_domains(docs, labelled, list(targets), sample)
+    rows, report = _mixed(docs, labelled, targets, total, anchor, margin, sample, keep_text)
+    added = "tokens", "posterior", "rate", "copies"
+    return restored(rows, docs.columns, *added) if keep_text else rows.select("doc_id", *added), report
+
+
+def _mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], total: float | None, anchor: str | None, margin: float, sample: int, keep_text: bool) -> tuple[DataFrame, dict]:
+    model = fit_domains(docs.select("doc_id", "text"), labelled, list(targets), sample)
     measured = lambda d: model.posteriors(d).withColumn("h", F.xxhash64("doc_id", "t", F.lit("copies"))).drop("t")
     narrow = cut(measured(docs.select("doc_id", "text")).drop("text"))
     steps, of, report = solve(narrow, targets, total, anchor, margin)
-    rows = with_rates(measured(docs) if keep_text else narrow, steps, of)
-    return rows.drop("h"), report
+    if not report["met"]:
+        warnings.warn(f"mixing targets not met: wanted {report['want']}, got {report['got']}", stacklevel=3)
+    return with_rates(measured(shielded(docs)) if keep_text else narrow, steps, of), report
+
+
+def mixture(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], total: float | None = None, anchor: str | None = None, margin: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+    """The mixed corpus itself: each row of docs as often as its copies say, with exactly docs' columns."""
+    rows, _ = _mixed(docs, labelled, targets, total, anchor, margin, sample, True)
+    # an outer explode: Spark would copy the whole classifier into a filter in front of an inner one
+    rows = rows.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).where("_copy is not null")
+    return restored(rows, docs.columns)

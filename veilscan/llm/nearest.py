@@ -30,9 +30,13 @@ def usable(vec: str) -> Column:
     return F.expr(f"coalesce(size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists({vec}, x -> x <> 0), false)")
 
 
-def _quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, norms of decoded codes, norms of errors, norms; norms are rounded up."""
-    x = v.astype(np.float64)
+def _exponents(v: np.ndarray) -> np.ndarray:
+    """Per vector, the power of two just above its largest component."""
+    return np.frexp(np.abs(v).max(1))[1].astype(np.int64)
+
+
+def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, scales, norms of decoded codes, norms of errors, norms; norms are rounded up. Components are at most 1."""
     scale = np.abs(x).max(1) / 127
     scale[scale == 0] = 1
     codes = np.rint(x / scale[:, None]).astype(np.int8)
@@ -65,39 +69,48 @@ def tile(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: in
     ends = np.searchsorted(which[by], np.arange(len(first) + 1))
     ids = [_smallest(cid[by[a:b]], k) for a, b in zip(ends[:-1], ends[1:])]
     sole, single = np.array([x[0] for x in ids], np.int64), np.array([x[0] == x[-1] for x in ids], bool)
-    cv = cv[first]
-    qcodes, qs, qdec, qerr, _ = _quantise(qv)
-    q64 = qv.astype(np.float64)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
-    for at in range(0, len(cv), _STEP):
-        block = cv[at:at + _STEP]
-        codes, s, _, err, norm = _quantise(block)
-        b64 = block.astype(np.float64)
+    c64, q64 = cv[first].astype(np.float64), qv.astype(np.float64)
+    # bounds are of vectors scaled by powers of two to components of at most 1, so that no size of components can overflow them
+    qe, ce = _exponents(q64), _exponents(c64)
+    shift = qe + ce.max()
+    qcodes, qs, qdec, qerr, _ = _quantise(np.ldexp(q64, -qe[:, None]))
+    scaled = np.ldexp(c64, -ce.max())
+    heaps: list[list[tuple[bool, float, int, float]]] = [[] for _ in qid]
+    for at in range(0, len(c64), _STEP):
+        b64 = c64[at:at + _STEP]
+        codes, s, _, err, norm = _quantise(scaled[at:at + _STEP])
         for lo in range(0, len(qid), _STEP):
             rows = slice(lo, lo + _STEP)
             near = _product(qcodes[rows], codes) * (qs[rows, None] * s)
-            slack = qdec[rows, None] * err + qerr[rows, None] * norm
+            slack = qdec[rows, None] * err + qerr[rows, None] * norm + 1e-290
             low, high = near - slack, near + slack
+            wild = qe[rows, None] + ce[at:at + _STEP] > 1000  # the score itself may be infinite or not a number: always computed
+            low[wild], high[wild] = -np.inf, np.inf
             low[(qid[rows, None] == sole[at:at + _STEP]) & single[at:at + _STEP]] = -np.inf  # only the query itself
             floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] >= k else np.full(len(low), -np.inf)
-            full = [h[0][0] if len(h) == k else -np.inf for h in heaps[rows]]
+            full = [-np.inf if len(h) < k else np.inf if h[0][0] else h[0][1] for h in heaps[rows]]
+            full = np.where(np.isfinite(full), np.ldexp(np.array(full), -shift[rows]) - 1e-290, full)
+            full -= 1e-12 * np.abs(np.where(np.isfinite(full), full, 0))
             keep = high >= np.maximum(floor, full)[:, None]
             qi, ci = np.nonzero(keep)
             score = np.zeros(len(qi))
+            old = np.seterr(over="ignore", invalid="ignore")
             for d in range(q64.shape[1]):  # in the order of the dimensions, so that a score has one value
                 score += q64[lo + qi, d] * b64[ci, d]
+            np.seterr(**old)
             for i, c, x in zip((lo + qi).tolist(), (at + ci).tolist(), score.tolist()):
-                heap, me = heaps[i], qid[i]
+                heap, me, odd = heaps[i], qid[i], x != x
                 for v in ids[c]:
                     if v == me:
                         continue
+                    entry = odd, 0.0 if odd else x, -v, x
                     if len(heap) < k:
-                        heapq.heappush(heap, (x, -v))
-                    elif (x, -v) > heap[0]:
-                        heapq.heapreplace(heap, (x, -v))
+                        heapq.heappush(heap, entry)
+                    elif entry[:3] > heap[0][:3]:
+                        heapq.heapreplace(heap, entry)
                     else:
                         break
-    return [(int(q), -v, x) for q, h in zip(qid, heaps) for x, v in h]
+    return [(int(q), -v, x) for q, h in zip(qid, heaps) for _, _, v, x in h]
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +127,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_i
     query of its dimension, except rows of the query's own id. Nearest first,
     ties to the smaller id; fewer than k if there are no more. Rows with a null
     id, or a vector that is null, zero or has null or non-finite components,
-    take no part. Repeated ids count: each row is a candidate of its own; each query row of a
+    take no part. Components of any finite size do: a score that
+    overflows is infinite, or not a number, which comes before all (as in SQL). Repeated ids count: each row is a candidate of its own; each query row of a
     repeated id is answered by the best of all its rows. Other columns are
     ignored.
     """

@@ -131,14 +131,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled rows outside the held-out fold; docs' other columns are not read."""
+    """Fits on at most ``sample`` labelled rows outside the held-out fold; docs' other columns are not read.
+
+    Rows that repeat an id with other texts are rows of their own; those that
+    repeat id and text count once.
+    """
     chosen = (labels.where("doc_id is not null and quality in (0, 1)").where(~held_out())
               .groupBy("doc_id").agg(F.max("quality").alias("label")))
     # twice as many ids as rows wanted, as some may have no document
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     ids = texts.select("doc_id", F.xxhash64("text").alias("h")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
-    rows = texts.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "label")
+    # by id and text, and rows that repeat both count once: no more rows than ids, whatever repeats
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "label")
     got = rows.mapInArrow(_sparse, _FEATURE_SCHEMA).toArrow().combine_chunks()
     at, count = (got.column(c).combine_chunks() for c in ("at", "count"))
     y = got.column("label").to_numpy(zero_copy_only=False).astype(np.int64)

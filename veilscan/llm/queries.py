@@ -23,9 +23,9 @@ def domains(labels: DataFrame) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, _ = mixing.mix(docs, domains(table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
+    rows, report = mixing.mix(docs, domains(table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
     shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)]
-    return rows.select("doc_id", "tokens", *shares, "rate", "copies")
+    return rows.select("doc_id", "tokens", *shares, "rate", "copies", F.lit(report["met"]).alias("targets_met"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

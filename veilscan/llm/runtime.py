@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import cut, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local session without one gets its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilscan-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: lineage ends here and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "ensure_checkpoint_dir", "release", "restored", "shielded", "table"]
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct ``_row``, so that no name of theirs meets a name of an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_row"))
+
+
+def restored(rows: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns that ``shielded`` put away, in their order, then the added ones, which take the place of columns named like them."""
+    kept = [F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`").alias(c) for c in columns if c not in added]
+    return rows.select(*kept, *added)
 
 
 def release(spark: SparkSession) -> None:

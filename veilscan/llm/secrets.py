@@ -46,11 +46,17 @@ def is_identifier(run: str) -> bool:
 
 
 def _words_only(run: str, bpe: BytePairEncoder, ratio: float) -> bool:
-    """Parts that are each a word with a number of up to 4 digits after it, or a number, and whose words tokenise like words."""
-    parts = [re.fullmatch(r"([A-Za-z]+)[0-9]{0,4}|[0-9]+|", part) for part in re.split(r"[-_/=+]", run)]
+    """Parts that are each a word with a number of up to 4 digits after it, or a number, and whose words tokenise like words.
+
+    A single part is no compound: the whole run's own ratio has decided.
+    """
+    pieces = [p for p in re.split(r"[-_/=+]", run) if p]
+    parts = [re.fullmatch(r"([A-Za-z]+)[0-9]{0,4}|[0-9]+", part) for part in pieces]
     if not all(parts):
         return False
     words = [m[1] for m in parts if m[1]]
+    if len(pieces) == 1:
+        return bool(words) and all(len(w) >= ratio * len(bpe.chunk(w)) for w in words)
     return all(len(w) < 4 or len(w) >= ratio * len(bpe.chunk(w)) for w in words)
 
 
@@ -63,20 +69,29 @@ def random_spans(text: str, bpe: BytePairEncoder, ratio: float = CHARS_PER_TOKEN
     return out
 
 
-def _covered(span: Span, base: list[Span]) -> bool:
-    """Whether the base spans, in their order, leave no character of the span."""
-    at = span[0]
-    for s, _, e in base:
-        if s <= at:
-            at = max(at, e)
-    return at >= span[2]
+def _uncovered(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Of ascending spans that do not overlap, those of which the ascending base spans leave some character. One sweep over both."""
+    out, i = [], 0
+    ends: list[Span] = []
+    for span in spans:
+        while i < len(base) and base[i][0] < span[2]:
+            if base[i][2] > span[0]:
+                ends.append(base[i])
+            i += 1
+        at = span[0]
+        ends = [b for b in ends if b[2] > span[0]]
+        for s, _, e in ends:
+            if s <= at:
+                at = max(at, e)
+        if at < span[2]:
+            out.append(span)
+    return out
 
 
 def all_spans(text: str, bpe: BytePairEncoder) -> tuple[list[Span], list[Span]]:
     """(base spans, base and random spans). A run wholly inside the base spans is not reported twice."""
     base = base_spans(text)
-    more = [s for s in random_spans(text, bpe) if not _covered(s, base)]
-    return base, sorted(base + more)
+    return base, sorted(base + _uncovered(random_spans(text, bpe), base))
 
 
 def joined(spans: list[Span]) -> str:
