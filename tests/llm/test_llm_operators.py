@@ -535,6 +535,171 @@ def test_licences(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_held_out(spark):
+    """Statements that no template or frame gives: the families named, and silence on licences that none knows."""
+    told = [
+        ("gpl", "SPDX-License-Identifier: GPL-2.0-only"), ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("mpl", "// SPDX-License-Identifier: MPL-2.0"), ("epl", "SPDX-License-Identifier: EPL-2.0"), ("bsd", "# SPDX-License-Identifier: BSD-2-Clause"),
+        ("unlicense", "SPDX-License-Identifier: Unlicense"), ("agpl", "SPDX-License-Identifier: AGPL-3.0"), ("boost", "Boost Software License, Version 1.0"), ("cc-by-nd", "Licensed under CC BY-ND 4.0."), ("gpl", "All our tools are GPLv3 software."),
+        ("mit", "Ver\u00f6ffentlicht unter der MIT-Lizenz."), ("bsd", "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the following\nconditions are met"),
+        ("mit", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles"), ("apache", "This library comes with the Apache License, Version 2.0, like its parent"), ("mit", "You can use it under the MIT license, as always"),
+        ("gpl", "Copyright 2011 Jane; you get it under the GNU General Public License, either version 2 or any later one"), ("cc0", "Data: CC0 1.0 Universal, no attribution needed"), ("cc-by-sa", "Maps and photos are CC BY-SA 4.0"), ("proprietary", "(c) 2019 Example Corp. All rights reserved."), ("isc", "The parser is under the ISC license"),
+        (None, "Licensed under the Sleepycat License"), (None, "Released under the Ruby License"), (None, "Licensed under the Open Font License, version 1.1"), (None, "The Microsoft Public License applies"), (None, "CeCILL-2.1"), (None, "Your driving license, version 2, expires in May"),
+        (None, "the library is free for all, by law"), (None, "She got permission to copy the file at no charge"), (None, "mit der Lizenz zum Fahren"), (None, "The public was met by the company at the source of the river"),
+    ]
+    got = {r.doc_id: r for r in licences.scan(docs(spark, [t for _, t in told])).collect()}
+    confusion = Counter((f, got[i].family) for i, (f, _) in enumerate(told))
+    assert sum(n for (f, g), n in confusion.items() if f == g) >= len(told) - 2, confusion
+    assert not any(g for (f, g), n in confusion.items() if f is None) and not any(f and g and f != g for f, g in confusion), confusion
+    assert all(got[i].n_licence <= 1 for i in range(len(told)))
+
+
+def test_licences_with_clashing_names_and_odd_lines(spark):
+    text = "Released under the MIT License."
+    names = ["lines", "marked", "made", "best", "suspects", "_row", "families", "a.b"]
+    frame = docs(spark, [f"one\rtwo\u2028{text}\n\n x", None, text]).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    rows = licences.scan(frame).orderBy("doc_id").collect()
+    assert all(r[n] == f"own {n}" for r in rows for n in names if n != "families") and [r.families for r in rows] == ["mit", "", "mit"]
+    assert [r.n_paragraphs for r in rows] == [2, 0, 1] and rows[0].licence_paragraphs[0].line == 0
+    twice = frame.union(frame)
+    assert Counter(map(str, licences.scan(twice).collect())) == {str(r): 2 for r in rows}
+
+
+def test_mixing_keeps_clashing_names(spark):
+    rows, labels = _mix_tables(spark, 60)
+    names = ["t", "h", "w", "pieces", "shapes", "found", "by_word", "logits", "odds", "_row", "x.y"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    labelled = domains(spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int"))
+    out, report = mixing.mix(frame, labelled, {"clean": 0.9, "junk": 0.05, "toxic": 0.05})
+    got = out.collect()
+    assert out.columns == [*frame.columns, "tokens", "posterior", "rate", "copies"] and all(r[n] == f"own {n}" for r in got for n in names) and report["met"]
+    same = mixing.mixture(frame.withColumn("rate", F.lit("mine")), labelled, {"clean": 0.9, "junk": 0.05, "toxic": 0.05})
+    assert same.columns == [*frame.columns, "rate"] and Counter(r.doc_id for r in same.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
+    assert {r.rate for r in same.collect()} == {"mine"}
+
+
+def test_mixing_says_when_targets_cannot_be_met(spark):
+    rows = [(i, "one clean text here") for i in range(20)]
+    labelled = domains(spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int"))
+    with pytest.warns(UserWarning, match="not met"):
+        _, report = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labelled, {"clean": 0.1, "junk": 0.1, "toxic": 0.8})
+    assert not report["met"]
+
+
+def test_mixing_equals_brute_force(spark):
+    """Posteriors by plain Python, and rates no further from the targets than a generic nonnegative solver's."""
+    rows, labels = _mix_tables(spark, 150)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["clean", "junk", "toxic"]
+    labelled = domains(spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int"))
+    targets = {"clean": 0.5, "junk": 0.2, "toxic": 0.3}
+    model = mixing.fit_domains(frame, labelled, names)
+    shapes = {r.doc_id: r.shapes for r in mixing._featured(frame).collect()}
+    out, _ = mixing.mix(frame, labelled, targets)
+    got = {r.doc_id: r for r in out.collect()}
+    for i, text in rows:
+        stems = {w.strip(mixing.PUNCTUATION)[:mixing.STEM] for w in text.lower().split()}
+        z = np.array(model.prior) + sum((np.array(model.words[s]) for s in stems if s in model.words), np.zeros(3)) + sum((np.array(model.shapes[s]) for s in shapes[i] if s in model.shapes), np.zeros(3))
+        e = np.exp(z - z.max())
+        assert np.allclose(got[i].posterior, e / e.sum()) and got[i].tokens == len(text.split())
+    a = np.array([[got[i].tokens * p for p in got[i].posterior] for i, _ in rows]).T
+    want = np.array(list(targets.values())) * sum(r.tokens for r in got.values())
+    x = np.ones(len(rows))
+    for _ in range(20000):  # plain projected gradient
+        x = np.maximum(0, x - a.T @ (a @ x - want) / np.linalg.norm(a, 2) ** 2)
+    rates = np.array([got[i].rate for i, _ in rows])
+    assert (rates >= 0).all() and np.linalg.norm(a @ rates - want) <= np.linalg.norm(a @ x - want) + 1e-4 * want.sum()
+
+
+def test_quality_classifier_sample_is_bounded(spark):
+    """One id with many texts and rows takes no more of the sample than any other rows would."""
+    frame = spark.createDataFrame([(1, f"text number {i} with words") for i in range(400)] + [(1, "same")] * 100 + [(3, "other words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    labels = labels.where(~quality_classifier.held_out())
+    assert labels.count() > 0
+    assert len(quality_classifier.train(frame, labels, sample=2).vectors) <= 2
+    assert len(quality_classifier.train(frame, labels, sample=10_000).vectors) <= 402
+
+
+def test_quality_classifier_equals_brute_force(spark):
+    """Scores are votes of the exact nearest labelled vectors, found one by one."""
+    texts = [*corpus(60), *(t.upper() + " ***" for t in corpus(40, seed=9)[:40])]
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 70), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(frame, labels)
+    got = {r.doc_id: r.score for r in quality_classifier.score(frame, model).collect()}
+    for i, t in enumerate(texts):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        v = (quality_classifier.features(raw, np.array([0, len(raw)])) @ model.weights)[0]
+        v = v / max(np.linalg.norm(v), 1e-12)
+        near = sorted(((float(v @ w), y) for w, y in zip(model.vectors, model.labels)), reverse=True)[:quality_classifier.NEIGHBOURS]
+        votes = [(max(s, 0) ** quality_classifier.SHARPNESS, y) for s, y in near]
+        want = (sum(s * y for s, y in votes) + 0.01 * model.prior) / (sum(s for s, _ in votes) + 0.01)
+        assert abs(got[i] - want) < 2e-3, (i, got[i], want)
+
+
+def test_nearest_with_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    v[:5] *= 1e200
+    v[5:9] *= 1e-200
+    v[9] = [1e308, -1e308, 1e308, 1e308]
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.nearest(frame, F.expr("vec_id % 5 = 0"), 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 60, 5):
+        with np.errstate(all="ignore"):
+            s = [sum((a * b for a, b in zip(v[q], w)), 0.0) for w in v]
+        order = sorted((k for k in range(60) if k != q), key=lambda k: (s[k] == s[k], -s[k] if s[k] == s[k] else 0, k))[:7]
+        assert got[q] == order, q
+
+
+def test_html_judged_by_hand(spark):
+    """Pages written by hand, with the text that a reader would call the article."""
+    wrap = lambda body: f"<html><head><title>T</title></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><h1>A headline about rivers</h1>{body}</article><footer><p>&copy; 2020 Example Site</p></footer></body></html>"
+    one, two = "The river rose by two metres in one night, and the town was warned in time.", "Nobody was hurt, but the old bridge has to be built again next year."
+    head = "A headline about rivers"
+    pages_ = [
+        (wrap(f'<p title="a < b">{one}</p><p>{two}</p>'), [head, one, two]),
+        (wrap(f'<p data-x="<b>x</b> > y">{one}</p><p>{two}</p>'), [head, one, two]),
+        (wrap(f"<p>{one} <audio controls>{two}</p><p>{one}</p>"), [head, f"{one} {two}", one]),
+        (wrap(f"<p>{one}<svg><text>icon</text></svg></p><p>{two}<iframe src=x></p><p>{one}</p>"), [head, one, two, one]),
+        (wrap(f"<p>{one} So <math><mi>h</mi><mo>=</mo><mn>2</mn></math> metres.</p><p>{two}</p>"), [head, f"{one} So h=2 metres.", two]),
+        (wrap(f"<p>{one} <object>{two}</object></p><noscript><p>{two}</p></noscript><p>{one}</p>"), [head, f"{one} {two}", two, one]),
+        (wrap(f"<p>{one}</p><!-- {two} --><script>var x = '<p>{two}</p>';</script><style>p{{}}</style><p>{two}</p>"), [head, one, two]),
+        (wrap(f"<p>{one}<br>\n  {two}</p><p>caf&eacute; &amp; &#x41; &lt;b&gt; and then some more words follow.</p>"), [head, f"{one} {two}", "caf\u00e9 & A <b> and then some more words follow."]),
+        (wrap("<p>x" + "<button>" * 20 + "Press" + "</button>" * 20 + f" {one}</p><p>{two}</p>"), [head, f"x {one}", two]),
+        (wrap(f"<p class=it's>{one} It's <a href=it's>don't</a> there.</p><p>{two}</p>"), [head, f"{one} It's don't there.", two]),
+    ]
+    got = html_extract.extract(spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages_)], "page_id long, url string, html string")).collect()
+    texts = {r.page_id: r.text for r in got}
+    assert [texts[i] for i in range(len(pages_))] == ["\n\n".join(want) for _, want in pages_]
+
+
+def test_secret_spans_sweep_once(encoder):
+    """Base spans are looked at once, however many runs there are."""
+    text = " ".join(f"password=abcdef{i} q7Xp2Lm9Zt4Rk8Vb1Nc6Wd{i}" for i in range(400))
+    base = secrets.base_spans(text)
+    looked = []
+
+    class Watched(list):
+        def __getitem__(self, i):
+            looked.append(i)
+            return super().__getitem__(i)
+
+    left = secrets._uncovered(secrets.random_spans(text, encoder), Watched(base))
+    assert len(left) >= 390 and len(looked) <= 4 * len(base) + 4 * len(left)
+    assert secrets._uncovered([(10, 3, 40)], [(0, 0, 25), (20, 1, 41)]) == [] and secrets._uncovered([(10, 3, 40)], [(0, 0, 25), (26, 1, 41)]) == [(10, 3, 40)]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "one two three"), (1, "one two three"), (None, None)]])
+def test_repeated_rows_and_empty_tables(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
+    for made in (quality_rules.quality_rules(frame.drop("spans")), secrets.scan(frame, RANKS, PATTERN), bpe.tokenize(frame, RANKS, PATTERN), licences.scan(frame), html_extract.extract(frame.selectExpr("doc_id page_id", "'u' url", "text html"), html_extract.trained())):
+        got = Counter(map(str, made.collect()))
+        assert sum(got.values()) == len(rows) and sorted(got.values()) == ([1, 2] if rows else [])
+
+
 def test_arrow_slices():
     from veilscan.llm.textbatch import column_bytes, shingle_sets, slices
 

@@ -92,5 +92,9 @@ def test_stages_take_odd_documents(spark, tmp_path):
             out.write.mode("overwrite").parquet(str(tmp_path / "out"))
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+    same = "plain words that say something here and now"
+    odd = [(8, same, "en", "s", 1, "z", 3), (8, "another text under the very same id", "en", "s", 1, "z", 3), (9, same, "en", "s", 1, "z", 3), (None, same, "en", "s", 1, "z", 3), (None, "a text without an id at all, here", "en", "s", 1, "z", 3)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(odd, schema), str(tmp_path))
+    assert sorted(r.text for r in kept.collect()) == sorted({r[1] for r in odd})
     deduped = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), str(tmp_path))
     assert deduped.where("doc_id = 4").count() == 1 and deduped.where(F.col("doc_id").isNull()).count() == 1
