@@ -7,7 +7,8 @@ exact over all rows that the one before kept:
 
 - quality: documents that the nearest-neighbour classifier rejects go.
 - near_duplicates: of each component of the 5-word-shingle Jaccard join (0.8),
-  the document with the smallest doc_id stays. Rows without a doc_id stay.
+  the document with the smallest doc_id stays. Where ids repeat or are null,
+  each different text is a document of its own.
 - secrets: every secret in a text is replaced by [SECRET]; n_chars follows.
 - mixing: rows are dropped or repeated at the fitted rates, so that toxic text
   falls to its target share while clean documents keep a rate of about
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import bpe, mixing, ngram_join, quality_classifier, secrets
 from veilscan.llm.queries import VOCABULARY, domains
-from veilscan.llm.runtime import ensure_checkpoint_dir, table
+from veilscan.llm.runtime import cut, ensure_checkpoint_dir, table
 
 #: Target token shares of the mixing stage, and the rate that clean text keeps on average.
 SHARES = {"clean": 0.97, "toxic": 0.03}
 KEEP_CLEAN = 1.05
+#: Ids that repeat are broadcast up to so many (8 MB), joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +41,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = ngram_join.jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    rest = docs.join(gone, "doc_id", "left_anti")
-    named = rest.where("doc_id is not null").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return named.unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    # a row's key: its doc_id; where that is null or repeats, a hash of id and text, so that each text is judged by itself
+    twice = cut(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__again")))
+    few = twice.count()
+    rows = docs.withColumn("__again", F.lit(False))
+    if few:
+        rows = docs.join(F.broadcast(twice) if few <= BROADCAST_IDS else twice, docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
+    rows = rows.withColumn("__key", F.when(F.coalesce("__again", F.lit(False)), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    keyed = rows.select(F.col("__key").alias("doc_id"), "text")
+    gone = ngram_join.jaccard_components(keyed).where("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    rest = rows.join(gone, "__key", "left_anti")
+    # rows that repeat both id and text: one stays
+    first = Window.partitionBy("__key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["__key"])
+    once = rest.where("__again").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth") if few else rest.where("false")
+    return rest.where("coalesce(__again, false) = false").unionByName(once).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +64,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = domains(table(spark, sf_dir, "labels"))
-    rows, _ = mixing.mix(docs, labelled, SHARES, anchor="clean", margin=KEEP_CLEAN)
-    # an outer explode: Spark would copy the whole classifier into a filter in front of an inner one
-    repeated = rows.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.where("_copy is not null").select(*docs.columns)
+    return mixing.mixture(docs, labelled, SHARES, anchor="clean", margin=KEEP_CLEAN)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
