@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -106,6 +107,30 @@ def test_prefix_groups_with_several_sets(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("hot, lists", [(10_000, 1_000_000), (7, 1_000_000), (7, 0)])
+def test_one_long_list_of_sets_of_many_sizes(spark, monkeypatch, hot, lists):
+    """A passage in every document: one list holds sets of all sizes, few of which link; blocks, bands and the join without broadcast lose none."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BROADCAST_LISTS", lists)
+    r = random.Random(1)
+    passage = [f"p{i}" for i in range(9)]
+    texts = []
+    for i in range(90):
+        own = [f"d{i}-{j}" for j in range(r.choice([0, 1, 2, 3, 20]))]
+        texts.append(" ".join(passage * (i % 2) + own + ([f"q{j}" for j in range(r.randint(6, 60))] if i % 3 else [])))
+    want, sizes = brute_components(list(enumerate(texts)))
+    rows = ngram_join.jaccard_components(docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want and {(r.doc_id, r.n_shingles) for r in rows} == sizes
+
+
+def test_size_bands_never_part_sets_that_may_link():
+    for percent in (80, 85, 100):
+        width = ngram_join.JaccardJoin.__dict__["_band"](type("J", (), {"percent": percent})())
+        for n in [*range(1, 3000), 10**6, 10**9]:
+            most = 100 * n // percent  # the largest set that may link with one of n
+            assert math.floor(math.log(most) / width) - math.floor(math.log(n) / width) <= 1
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_posting_lists_in_batches(size):
     """Batches of any size give the lists that a plain grouping gives."""

@@ -9,13 +9,15 @@ documents link when 100 * |x & y| >= threshold * |x | y|.
    This is one global order, so two linked sets share a shingle among their
    first n - ceil(t*n) + 1: the prefix. Documents with identical prefix and
    size collapse into one group.
-3. Prefix postings of the groups are dealt by shingle; a hot shingle (by the
-   sketch) is dealt over several salted blocks. Consecutive groups of a list
-   are first candidates; pairs that survive the size and position filters are
-   expanded to members and verified on whole sets, and joined to components.
+3. Prefix postings of the groups are dealt by shingle. The postings of every
+   shingle that the sketch does not rule out are counted exactly; a list of more
+   than HOT of them is dealt over several salted blocks. Consecutive groups of a
+   list are first candidates; pairs that survive the size and position filters
+   are expanded to members and verified on whole sets, and joined to components.
 4. Lists that still hold several components give all their remaining cross
-   pairs (block against block where salted), filtered, expanded and verified.
-   A pair inside one component needs no check: it cannot change a component.
+   pairs (block against block where salted, and only between size bands that can
+   link), filtered, expanded and verified. A pair inside one component needs no
+   check: it cannot change a component.
 
 No list, group or component is ever held by one task or the driver: lists are
 streamed, pairs and components stay in DataFrames.
@@ -24,6 +26,7 @@ streamed, pairs and components stay in DataFrames.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,11 @@ from .textbatch import column_bytes, mix64, shingle_sets, slices
 
 SKETCH_BITS = 20
 CHUNK = 1 << 14
-HOT = 50_000
+#: Postings of a list, or of a block of one, at any size of input.
+HOT = 10_000
 MOST_BLOCKS = 1 << 14
+#: Lists of several blocks are broadcast up to so many (16 MB), joined by a shuffle beyond.
+BROADCAST_LISTS = 1_000_000
 FILTER_SLOTS = 1_048_573
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 8
@@ -119,27 +125,30 @@ def _prefixes(level: np.ndarray, percent: int):
     return run
 
 
-def _postings(blocks: np.ndarray):
-    """groups(gid, n, prefix) -> one row per prefix shingle; ``blk`` packs (blocks of its list << 16) + its block, ``np`` (n << 32) + place."""
-    names = ["t", "blk", "gid", "np"]
+def _suspects(possible: np.ndarray):
+    """groups(prefix) -> the prefix shingles whose bucket of the sketch holds more than a block; all others have shorter lists."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                prefix = part.column("prefix")
-                sizes = np.diff(prefix.offsets.to_numpy())
-                t = prefix.flatten().to_numpy()
-                gid = np.repeat(part.column("gid").to_numpy(), sizes)
-                place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                of = blocks[_bucket(t.view(np.uint64))]
-                salt = mix64(mix64(t.view(np.uint64)) ^ gid.view(np.uint64)) % of.astype(np.uint64)
-                blk = (of.astype(np.int64) << 16) + salt.astype(np.int64)
-                yield pa.record_batch([pa.array(t), pa.array(blk.astype(np.int32)), pa.array(gid), pa.array((np.repeat(part.column("n").to_numpy(), sizes) << 32) + place)], names=names)
+            t = batch.column("prefix").flatten().to_numpy()
+            yield pa.record_batch([pa.array(t[possible[_bucket(t.view(np.uint64))]])], names=["t"])
 
     return run
 
 
+def _postings(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """groups(gid, n, prefix) -> one row per prefix shingle; ``np`` packs (n << 32) + place."""
+    for batch in frames:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            prefix = part.column("prefix")
+            sizes = np.diff(prefix.offsets.to_numpy())
+            t = prefix.flatten()
+            gid = np.repeat(part.column("gid").to_numpy(), sizes)
+            place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.record_batch([t, pa.array(gid), pa.array((np.repeat(part.column("n").to_numpy(), sizes) << 32) + place)], names=["t", "gid", "np"])
+
+
 def _lists(percent: int):
     """Rows sorted by (t, blk): those that share their list, each with the next group of its list. Holds two rows.
 
@@ -246,21 +255,33 @@ class JaccardJoin:
         self.percent = percent
 
     def _frequency(self, scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Per bucket: frequency level (an order), and the blocks that a list of its shingles is dealt over."""
+        """Per bucket: frequency level (an order), and whether a list of its shingles may be longer than a block."""
         parts = scan.where("chunk is not null").select("chunk", "counts")
         mid = parts.repartition(16, "chunk", F.spark_partition_id() % 64).mapInArrow(_narrow_counts, "chunk int, counts binary")
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for c, z in mid.repartition(8, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect():  # the sketch: 8 MB, always
             total[c * CHUNK:(c + 1) * CHUNK] += np.frombuffer(z, np.int64)
-        hot = HOT + 4 * int(np.median(total))
-        level = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8)
-        return level, np.clip(-(-total // hot) * (total > hot), 1, MOST_BLOCKS).astype(np.int32)
+        return np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8), total > HOT
+
+    def _dealt(self, groups: DataFrame, possible: np.ndarray) -> DataFrame:
+        """Postings of the groups with ``blk``, which packs (blocks of the list << 16) + the posting's block."""
+        counted = groups.select("prefix").mapInArrow(_suspects(possible), "t long").groupBy("t").agg(F.count("*").alias("size"))
+        blocks = F.least(F.ceil(F.col("size") / HOT), F.lit(MOST_BLOCKS)).cast("int").alias("blocks")
+        hot = cut(counted.where(F.col("size") > HOT).select("t", blocks))
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_LISTS else hot
+        postings = groups.select("gid", "n", "prefix").mapInArrow(_postings, "t long, gid long, np long").join(hot, "t", "left")
+        blk = "(coalesce(blocks, 1) << 16) + cast(pmod(xxhash64(gid, t, 'block'), coalesce(blocks, 1)) as int)"
+        return postings.select("t", F.expr(blk).alias("blk"), "gid", "np")
 
     def _near(self, x: str, y: str, n1: str, n2: str) -> str:
         """The parity sketches allow a link: their differing bits are no more than the sets may differ."""
         apart = " + ".join(f"bit_count({x}{k} ^ {y}{k})" for k in range(SKETCH_WORDS))
         return f"{100 + self.percent} * ({apart}) <= {100 - self.percent} * ({n1} + {n2})"
 
+    def _band(self) -> float:
+        """Width of a size band in ln(n), a little over what the sizes of linked sets may differ by, for the sake of rounding."""
+        return 1.000001 * max(math.log(100 / self.percent), 1e-3)
+
     def _linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of pairs(a, b) of document ids, those whose whole sets link; the sketches of classes go first."""
         side = lambda key, v: classes.select(F.col("cid").alias(key), F.col("n").alias(f"n_{v}"), *[F.col(k).alias(f"{v}{i}") for i, k in enumerate(_PARITY)])
@@ -278,13 +299,13 @@ class JaccardJoin:
 
     def result(self) -> DataFrame:
         scan = cut(self.docs.mapInArrow(_scan, "doc_id long, n long, sig binary, chunk int, counts binary"))
-        level, blocks = self._frequency(scan)
+        level, possible = self._frequency(scan)
         rows = scan.where("chunk is null").select("doc_id", "n", "sig")
         # read twice: the prefixes once for the groups, without them for the classes
         prefixed = self.docs.where("doc_id is not null").mapInArrow(_prefixes(level, self.percent), "doc_id long, n long, sig binary, gkey binary, prefix array<bigint>, " + ", ".join(f"{k} long" for k in _PARITY))
-        groups = prefixed.groupBy("gkey").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        postings = groups.select("gid", "n", "prefix").mapInArrow(_postings(blocks), "t long, blk int, gid long, np long")
-        spread = postings.repartition("t", "blk").sortWithinPartitions("t", "blk", F.xxhash64("t", "gid"))
+        groups = cut(prefixed.groupBy("gkey").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).drop("gkey"))
+        release(self.spark)
+        spread = self._dealt(groups, possible).repartition("t", "blk").sortWithinPartitions("t", "blk", F.xxhash64("t", "gid"))
         lists = cut(spread.mapInArrow(_lists(self.percent), "t long, blk long, gid long, np long, next_gid long, next_np long"))
         release(self.spark)
 
@@ -314,12 +335,15 @@ class JaccardJoin:
         rest = cut(rest.withColumn("many", F.col("many") | F.col("twice")).drop("twice"))  # no one sketch stands for these
         release(self.spark)
         dealt = rest.withColumn("j", F.explode(F.expr("sequence(0L, (blk >> 16) - 1)"))).withColumn("s", F.expr("blk & 65535")).withColumn("u", F.least("s", "j")).withColumn("v", F.greatest("s", "j"))
-        cols = ["gid", "np", "lo", "hi", "many", *_PARITY]
-        left = dealt.where("s = u").select("t", "u", "v", *[F.col(c).alias(f"{c}1") for c in cols])
-        right = dealt.where("s = v").select("t", "u", "v", *[F.col(c).alias(f"{c}2") for c in cols])
+        # sets that link are of one size band or of neighbouring ones
+        dealt = dealt.withColumn("band", F.expr(f"cast(floor(ln(np >> 32) / {self._band()!r}) as int)"))
+        cols = ["gid", "np", "lo", "hi", "many", "band", *_PARITY]
+        left = dealt.where("s = u").withColumn("w", F.explode(F.expr("if(u = v, array(band, band + 1), array(band - 1, band, band + 1))")))
+        left = left.select("t", "u", "v", "w", *[F.col(c).alias(f"{c}1") for c in cols])
+        right = dealt.where("s = v").select("t", "u", "v", F.col("band").alias("w"), *[F.col(c).alias(f"{c}2") for c in cols])
         near = " + ".join(f"bit_count({k}1 ^ {k}2)" for k in _PARITY)
         near = f"{100 + self.percent} * ({near}) <= {100 - self.percent} * ((np1 >> 32) + (np2 >> 32))"  # of groups with one member
-        pairs = left.join(right, ["t", "u", "v"]).where(f"(many1 or many2 or {near}) and (u < v or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "np1", "np2"))
+        pairs = left.join(right, ["t", "u", "v", "w"]).where(f"(many1 or many2 or {near}) and (u < v or band1 < band2 or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "np1", "np2"))
         pairs = cut(pairs.select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h")).distinct())
         # expand groups to members; inside a group of several components, its members meet too
         inner = spans.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
@@ -335,7 +359,10 @@ class JaccardJoin:
 
         whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         named = classes.select("sig", "cid").join(whole.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.coalesce("component", "cid").alias("component"))
-        return rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        # documents without words take no part in the join: their null would be one key
+        seated = rows.where("sig is not null").join(named, "sig", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        alone = rows.where("sig is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+        return seated.unionByName(alone).toDF("doc_id", "n_shingles", "component_id")
 
 
 def _narrow_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
