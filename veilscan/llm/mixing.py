@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, restored, shielded
+from .runtime import cut, restored, shielded, written
 
 #: Labelled documents that the classifier is fitted on, at most; taken in order of a hash of their id.
 SAMPLE = 4000
@@ -256,11 +256,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], tota
 def _mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], total: float | None, anchor: str | None, margin: float, sample: int, keep_text: bool) -> tuple[DataFrame, dict]:
     model = fit_domains(docs.select("doc_id", "text"), labelled, list(targets), sample)
     measured = lambda d: model.posteriors(d).withColumn("h", F.xxhash64("doc_id", "t", F.lit("copies"))).drop("t")
-    narrow = cut(measured(docs.select("doc_id", "text")).drop("text"))
-    steps, of, report = solve(narrow, targets, total, anchor, margin)
+    # texts are scored once; the solver reads tokens and posteriors alone
+    rows = written(measured(shielded(docs)), "mixing") if keep_text else cut(measured(docs.select("doc_id", "text")).drop("text"))
+    steps, of, report = solve(rows.select("tokens", "posterior"), targets, total, anchor, margin)
     if not report["met"]:
         warnings.warn(f"mixing targets not met: wanted {report['want']}, got {report['got']}", stacklevel=3)
-    return with_rates(measured(shielded(docs)) if keep_text else narrow, steps, of), report
+    return with_rates(rows, steps, of), report
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], total: float | None = None, anchor: str | None = None, margin: float = 1.0, sample: int = SAMPLE) -> DataFrame:

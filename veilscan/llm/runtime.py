@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, ensure_checkpoint_dir
 
-__all__ = ["cut", "ensure_checkpoint_dir", "release", "restored", "shielded", "table"]
+__all__ = ["cut", "ensure_checkpoint_dir", "release", "restored", "shielded", "table", "written"]
 
 
 def shielded(docs: DataFrame) -> DataFrame:
@@ -24,6 +25,15 @@ def restored(rows: DataFrame, columns: list[str], *added: str) -> DataFrame:
     return rows.select(*kept, *added)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder: lineage ends here, and readers take only the columns they use."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the cleaner drop shuffle files of plans that cut() has ended, instead of keeping them to the end of the job."""
     gc.collect()
