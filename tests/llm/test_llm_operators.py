@@ -287,6 +287,14 @@ def test_bpe_equals_the_library(encoder, library):
         assert ids.tolist() == library.encode_ordinary(t) and encoder.decode(ids) == t.encode()
 
 
+def test_bpe_holds_little():
+    """A worker keeps its encoder while other operators run: what that remembers is bounded well below the words it has seen."""
+    enc = bpe.BytePairEncoder(bpe.parse_ranks(bpe.read_ranks(RANKS)), PATTERN)
+    for part in range(40):
+        enc.encode(" ".join(f"w{k * 7919 % 1000003:06d}x" for k in range(part * 10000, part * 10000 + 10000)))
+    assert sum(len(v) for v in vars(enc).values() if isinstance(v, dict)) < 400_000
+
+
 def test_bpe_appends_and_edits(encoder):
     data = "unbelievably extraordinary".encode()
     table = bpe.PrefixTable(encoder)

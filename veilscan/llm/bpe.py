@@ -14,20 +14,26 @@ import base64
 import hashlib
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a cache's generation; two generations are kept.
-CACHE = 250_000
-#: Lengths of the prefixes that pieces share.
-HEADS = (14, 11, 8, 6, 4)
+from .textbatch import column_bytes, slices
+
+#: Chunks in a cache's generation; two generations are kept. A worker process keeps them while it runs other operators.
+CACHE = 60_000
+#: Bytes of text that are encoded together (a longer text stands alone).
+SLICE = 1 << 21
+#: Pairs of tokens and moves of the automaton that are remembered.
+KNOWN = 400_000
 #: Chunks up to so many characters are remembered.
 REMEMBERED = 48
 
@@ -48,60 +54,51 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 _ODD_SPACES = re.compile(r"\s | \s")
 
 
+#: A state of the automaton of tokens: its number times 256, the longest end of what was read that begins a token, and
+#: (token, bytes) of all tokens ending here, long ones first.
+Node = tuple[int, bytes, tuple[tuple[int, int], ...]]
+
+
 class PrefixTable:
     """The last token of each prefix of one growing piece."""
 
-    __slots__ = ("bpe", "data", "last")
+    __slots__ = ("bpe", "last", "nodes")
 
     def __init__(self, bpe: BytePairEncoder) -> None:
-        self.bpe, self.data, self.last = bpe, bytearray(), []
+        self.bpe, self.nodes = bpe, [bpe.root]
+        self.last = [-1]  # of the empty prefix: none
+
+    def keep(self, size: int) -> PrefixTable:
+        """Forgets all but the first ``size`` bytes."""
+        del self.last[size + 1:], self.nodes[size + 1:]
+        return self
 
     def append(self, more: bytes) -> PrefixTable:
         """Extends the table; what it holds for shorter prefixes stays."""
-        bpe = self.bpe
-        ranks, longest, pairs, fits = bpe.ranks.get, bpe.longest, bpe._pairs.get, bpe.compatible
-        data, last = self.data, self.last
-        start = len(data)
-        data += more
-        whole = bytes(data)
-        fresh = []
-        if not start:  # pieces that begin alike share the last tokens of their common prefixes
-            for k in HEADS:
-                if len(whole) > k:
-                    if (got := bpe._heads.get(whole[:k])) is not None:
-                        last += got
-                        start = k
-                        break
-                    fresh.append(k)
-        for end in range(start + 1, len(whole) + 1):
-            # short tokens first: exactly one fits, so the order only saves time
-            for begin in range(end - 1, max(-1, end - longest - 1), -1):
-                t = ranks(whole[begin:end])
-                if t is None:
-                    continue
-                if begin:
-                    ok = pairs((last[begin - 1], t))
-                    if ok is None:
-                        ok = fits(last[begin - 1], t)
-                else:
-                    ok = bpe.whole(t)
-                if ok:
-                    last.append(t)
+        bpe, last, nodes = self.bpe, self.last, self.nodes
+        step, pairs, size = bpe._steps.get, bpe._pairs.get, len(bpe.tokens)
+        end, node = len(last), nodes[-1]
+        for byte in more:
+            node = step(node[0] + byte) or bpe.step(node, byte)
+            # long tokens first: exactly one fits, so the order only saves time
+            for t, k in node[2]:
+                before = last[end - k]
+                ok = pairs(before * size + t)
+                if ok or ok is None and bpe.compatible(before, t):
                     break
             else:
                 raise ValueError("a byte has no token")
-        if fresh:
-            if len(bpe._heads) > CACHE:
-                bpe._heads.clear()
-            for k in fresh:
-                bpe._heads[whole[:k]] = tuple(last[:k])
+            last.append(t)
+            nodes.append(node)
+            end += 1
         return self
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes: follow last tokens backwards."""
-        at, out, tokens = len(self.data) if end is None else end, [], self.bpe.tokens
+        last, tokens, out = self.last, self.bpe.tokens, []
+        at = len(last) - 1 if end is None else end
         while at:
-            t = self.last[at - 1]
+            t = last[at]
             out.append(t)
             at -= len(tokens[t])
         out.reverse()
@@ -132,11 +129,29 @@ class BytePairEncoder:
             self.tokens[v] = k
         self.longest = max(map(len, ranks))
         self.pattern = regex.compile(pattern)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._chunks: dict[str, tuple[int, ...]] = {}
-        self._heads: dict[bytes, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._chunks: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._sorted = sorted(ranks)
+        self._ends = {t: (t, len(k)) for k, t in ranks.items()}
+        self.root: Node = (0, b"", ())
+        self._nodes: dict[bytes, Node] = {b"": self.root}
+        self._steps: dict[int, Node] = {}
+
+    def step(self, node: Node, byte: int) -> Node:
+        """The automaton's state after one more byte. There are no more states than beginnings of tokens."""
+        at, ranks = node[1] + bytes((byte,)), self._sorted
+        while at and not ((i := bisect_left(ranks, at)) < len(ranks) and ranks[i].startswith(at)):
+            at = at[1:]
+        got = self._nodes.get(at)
+        if got is None:
+            here = (self.ranks.get(at[k:]) for k in range(len(at)))
+            got = self._nodes[at] = (len(self._nodes) << 8, at, tuple(self._ends[t] for t in here if t is not None))
+        if len(self._steps) > KNOWN:
+            self._steps.clear()
+        self._steps[node[0] + byte] = got
+        return got
 
     def merge(self, data: bytes) -> list[int]:
         """Plain lowest-rank-first merging of a short byte string; defines what is compatible."""
@@ -156,11 +171,13 @@ class BytePairEncoder:
         return got
 
     def compatible(self, a: int, b: int) -> bool:
-        got = self._pairs.get((a, b))
+        """Whether two tokens' joined bytes encode to just these two; a = -1: whether b can come first."""
+        key = a * len(self.tokens) + b
+        got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 4 * CACHE:
+            if len(self._pairs) > KNOWN:
                 self._pairs.clear()
-            got = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            got = self._pairs[key] = self.whole(b) if a < 0 else self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return got
 
     def piece(self, text: str) -> list[int]:
@@ -169,16 +186,58 @@ class BytePairEncoder:
         t = self.ranks.get(data)
         return [t] if t is not None else PrefixTable(self).append(data).ids()
 
-    def chunk(self, text: str) -> tuple[int, ...]:
+    def chunk(self, text: str) -> bytes:
+        """The ids of a chunk, 4 bytes each."""
         got = self._chunks.get(text) or self._older.get(text)
         if got is None:
-            got = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
+            got = array("I", chain.from_iterable(map(self.piece, self.pattern.findall(text)))).tobytes()
         if len(text) <= REMEMBERED:
-            if len(self._chunks) >= CACHE:  # what was not used while this half filled up is forgotten
-                self._older, self._chunks = self._chunks, {}
             self._chunks[text] = got
+            self._turn()
         return got
 
+    def _turn(self) -> None:
+        if len(self._chunks) >= CACHE:  # what was not used while this half filled up is forgotten
+            self._older, self._chunks = self._chunks, {}
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remembers the chunks. Their pieces are encoded in order, on one table: those that begin alike share their prefixes."""
+        older, known, findall = self._older, self._chunks, self.pattern.findall
+        single, several, pieces = {}, {}, set()
+        for c in chunks:
+            if (got := older.get(c)) is not None:
+                known[c] = got
+                continue
+            found = findall(c)
+            if len(found) == 1:
+                single[c] = found[0]
+            else:
+                several[c] = found
+                pieces.update(found)
+        pieces.update(single.values())
+        table, before, coded = PrefixTable(self), b"", {}
+        for p in sorted(pieces):
+            data = p.encode("utf-8", "surrogatepass")
+            t = self.ranks.get(data)
+            if t is not None:
+                coded[p] = array("I", (t,)).tobytes()
+                continue
+            same = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                same += 1
+            coded[p] = array("I", table.keep(same).append(data[same:]).ids()).tobytes()
+            before = data
+        for c, p in single.items():
+            known[c] = coded[p]
+        for c, found in several.items():
+            known[c] = b"".join([coded[p] for p in found])
+
+    def count(self, text: str) -> int:
+        """Tokens of a chunk."""
+        return len(self.chunk(text)) // 4
+
     def chunks(self, text: str) -> list[str]:
         """Cuts before single spaces between non-spaces, where no match of the pattern can cross."""
         words = text.split(" ")
@@ -196,12 +255,38 @@ class BytePairEncoder:
     def encode(self, text: str) -> array:
         """Token ids of a whole text, each match of the pattern encoded separately, no special tokens."""
         recent = self._chunks.get
-        return array("I", chain.from_iterable([recent(c) or self.chunk(c) for c in self.chunks(text)]))
+        return array("I", b"".join([recent(c) or self.chunk(c) for c in self.chunks(text)]))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's token ids. Every different word of the texts is looked up once, and those not known are encoded together."""
+        self._turn()
+        known = self._chunks
+        odd = {k: self.chunks(t) for k, t in enumerate(texts) if _ODD_SPACES.search(t)}
+        words = pc.split_pattern(pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.large_string()), " ")
+        begin = words.offsets.to_numpy()
+        different = words.flatten().dictionary_encode()
+        chunks = [" " + w for w in different.dictionary.to_pylist()]
+        first = [t[:n] if (n := t.find(" ")) >= 0 else t for t in ("" if k in odd else t for k, t in enumerate(texts))]
+        new = {c for cut in (chunks, first, *odd.values()) for c in cut if c not in known and len(c) <= REMEMBERED}
+        self._learn(new)
+        coded = [known.get(c) or self.chunk(c) for c in chain(chunks, first)]
+        # the first word of a text has no space before it
+        at = different.indices.to_numpy().astype(np.int64)
+        at[begin[:-1]] = np.arange(len(chunks), len(coded))
+        ids = np.frombuffer(b"".join(coded), np.uint32)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        start, size = (np.cumsum(size) - size)[at], size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        out = [ids[a:b] for a, b in zip(ends[begin[:-1]], ends[begin[1:]])]
+        for k, cut in odd.items():
+            out[k] = np.frombuffer(b"".join([known.get(c) or self.chunk(c) for c in cut]), np.uint32)
+        return out
 
     def encoded(self, text: str) -> Encoded:
         chunks = [c for c in self.chunks(text) if c]
         coded = list(map(self.chunk, chunks))
-        return Encoded(chunks, array("q", map(len, chunks)), array("q", map(len, coded)), array("I", chain.from_iterable(coded)))
+        return Encoded(chunks, array("q", map(len, chunks)), array("q", [len(c) // 4 for c in coded]), array("I", b"".join(coded)))
 
     def edit(self, whole: Encoded, start: int, end: int, new: str) -> Encoded:
         """The encoding with text[start:end] replaced; only the chunks around the edit are cut and encoded again.
@@ -254,17 +339,17 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = Fals
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value, pattern)
         for batch in frames:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = [bpe.encode(t or "") for t in part.column("text").cast(pa.string()).to_pylist()]
+            _, off = column_bytes(batch.column("text"))
+            for i, j in slices(off, SLICE):
+                part = batch.slice(i, j - i)
+                coded = bpe.encode_all([t or "" for t in part.column("text").cast(pa.string()).to_pylist()])
                 more = [pa.array([len(x) for x in coded], pa.int64())]
                 if ids:
                     ends = np.cumsum([0, *map(len, coded)])
-                    flat = np.concatenate([np.frombuffer(x, np.uint32) for x in coded])
+                    flat = np.concatenate(coded)
                     more.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))))
                 if digest:
-                    packed = [np.frombuffer(x, np.uint32).astype("<u4") for x in coded]
-                    more += [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in packed]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded])]
+                    more += [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded]), pa.array([hashlib.sha256(bpe.decode(x.tolist())).hexdigest() for x in coded])]
                 yield pa.record_batch([*part.columns, *more], names=[*fields, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *added])

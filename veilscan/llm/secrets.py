@@ -56,15 +56,15 @@ def _words_only(run: str, bpe: BytePairEncoder, ratio: float) -> bool:
         return False
     words = [m[1] for m in parts if m[1]]
     if len(pieces) == 1:
-        return bool(words) and all(len(w) >= ratio * len(bpe.chunk(w)) for w in words)
-    return all(len(w) < 4 or len(w) >= ratio * len(bpe.chunk(w)) for w in words)
+        return bool(words) and all(len(w) >= ratio * bpe.count(w) for w in words)
+    return all(len(w) < 4 or len(w) >= ratio * bpe.count(w) for w in words)
 
 
 def random_spans(text: str, bpe: BytePairEncoder, ratio: float = CHARS_PER_TOKEN) -> list[Span]:
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not is_identifier(run) and len(run) < ratio * len(bpe.chunk(run)) and not _words_only(run, bpe, ratio):
+        if not is_identifier(run) and len(run) < ratio * bpe.count(run) and not _words_only(run, bpe, ratio):
             out.append((m.start(), 3, m.end()))
     return out
 
