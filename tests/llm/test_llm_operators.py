@@ -287,6 +287,17 @@ def test_bpe_equals_the_library(encoder, library):
         assert ids.tolist() == library.encode_ordinary(t) and encoder.decode(ids) == t.encode()
 
 
+def test_bpe_encodes_texts_together(library, monkeypatch):
+    """Words that begin alike share the table of their common prefix; odd spaces, long words and empty texts mix with plain texts."""
+    enc = bpe.BytePairEncoder(bpe.parse_ranks(bpe.read_ranks(RANKS)), PATTERN)
+    texts = [*_texts(), " ".join("qxzv" * 8 + f"{c}" for c in "abcdefghij"), " x", "y ", "z" * 60 + " " + "z" * 60]
+    read = []
+    monkeypatch.setattr(bpe.PrefixTable, "append", lambda self, more, f=bpe.PrefixTable.append: read.append(more) or f(self, more))
+    assert [x.tolist() for x in enc.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+    # 4 in a word; the first word has no space before it, the nine others share theirs
+    assert sum(more.count(b"qxzvqxzv") for more in read) == 8
+
+
 def test_bpe_holds_little():
     """A worker keeps its encoder while other operators run: what that remembers is bounded well below the words it has seen."""
     enc = bpe.BytePairEncoder(bpe.parse_ranks(bpe.read_ranks(RANKS)), PATTERN)
