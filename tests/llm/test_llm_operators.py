@@ -536,6 +536,13 @@ def test_mixing_samples_documents_that_exist(spark):
     assert mixing.fit_domains(frame, labelled, names, 100) == mixing.fit_domains(frame, alone, names, 100)
 
 
+def test_mixing_scores_a_stem_once(spark):
+    """Words with one stem count once, without a second pass over the stems."""
+    scored = mixing.DomainModel(["a", "b"], [0.0, 0.0], {"x": [1.0, 0.0]}, {}).posteriors(docs(spark, ["x, x. X! y"]))
+    assert abs(scored.first().posterior[0] - 1 / (1 + np.exp(-1))) < 1e-12
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
+
+
 def test_mixing_edges(spark):
     labelled = domains(spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int"))
     targets = {"clean": 0.5, "junk": 0.5, "toxic": 0.0}

@@ -59,9 +59,9 @@ def _bin(part: Column, whole: Column, name: str) -> Column:
 
 
 def _count(chars: str) -> Column:
-    """replace() finds single characters fast and copies only texts that have them."""
-    size = F.length("t")
-    return sum((size - F.length(F.replace(F.col("t"), F.lit(c), F.lit(""))) for c in chars), F.lit(0))
+    """Of ASCII characters. replace() finds single characters fast and copies only texts that have them; bytes need no counting."""
+    size = F.octet_length("t")
+    return sum((size - F.octet_length(F.replace(F.col("t"), F.lit(c), F.lit(""))) for c in chars), F.lit(0))
 
 
 def _pieces(text: str) -> Column:
@@ -73,11 +73,11 @@ def _pieces(text: str) -> Column:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """docs plus t (text), tokens (words), w (the distinct stems of words without the punctuation around them), shapes."""
+    """docs plus t (text), tokens (words), w (the stems of distinct words without the punctuation around them; stems may repeat), shapes."""
     size = F.length("t")
     rows = docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("pieces", _pieces("t"))
     rows = rows.withColumn("tokens", F.size("pieces").cast("long")).withColumn("pieces", F.array_distinct("pieces"))
-    rows = rows.withColumn("w", F.array_distinct(F.transform("pieces", lambda w: F.left(F.btrim(w, F.lit(PUNCTUATION)), F.lit(STEM)))))
+    rows = rows.withColumn("w", F.transform("pieces", lambda w: F.left(F.btrim(w, F.lit(PUNCTUATION)), F.lit(STEM))))
     # without A-Z, and with digits two bytes long: one pass counts both
     rows = rows.withColumn("other", F.translate("t", DIGITS + UPPER, "\u00e9" * len(DIGITS)))
     upper = size - F.length("other")
@@ -120,7 +120,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     """labelled(doc_id, domain); rows with an unknown domain, a null id or no document take no part."""
     chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = cut(_featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "shapes", "w"))
+    rows = cut(_featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "shapes", F.array_distinct("w").alias("w")))
     sizes = dict(rows.groupBy("domain").count().collect())
     n, k = sum(sizes.values()), len(domains)
     total = np.array([sizes.get(d, 0) for d in domains], float)
