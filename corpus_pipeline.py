@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import bpe, mixing, ngram_join, quality_classifier, secrets
 from veilscan.llm.queries import VOCABULARY, domains
-from veilscan.llm.runtime import cut, ensure_checkpoint_dir, table
+from veilscan.llm.runtime import cut, ensure_checkpoint_dir, release, table
 
 #: Target token shares of the mixing stage, and the rate that clean text keeps on average.
 SHARES = {"clean": 0.97, "toxic": 0.03}
@@ -37,6 +37,7 @@ BROADCAST_IDS = 1_000_000
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    release(spark)  # the driver's one large array is gone
     return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
@@ -64,6 +65,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = domains(table(spark, sf_dir, "labels"))
+    release(spark)
     return mixing.mixture(docs, labelled, SHARES, anchor="clean", margin=KEEP_CLEAN)
 
 

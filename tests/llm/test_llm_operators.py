@@ -1,10 +1,13 @@
 """The operators against brute force on small fixtures with nulls, ties, copies, long texts and clashing columns."""
 
 import base64
+import gc
 import hashlib
 import math
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from veilscan.llm import bpe, chat, html_extract, licences, mixing, nearest, ngram_join, quality_classifier, quality_rules, secrets
 from veilscan.llm.components import components
 from veilscan.llm.queries import VOCABULARY, domains
+from veilscan.llm.runtime import release
 from veilscan.llm.sample_pages import pages
 
 RANKS, PATTERN = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
@@ -759,3 +763,26 @@ def test_arrow_slices():
     for most in (1, 8, 1000):
         sets = [s for i, j in slices(off, most) for s in shingle_sets(raw[off[i]:off[j]], off[i:j + 1] - off[i])]
         assert [len(s) for s in sets] == [0, 2, 0, 2, 1] and sets[1].tolist() == sets[3].tolist()
+
+
+def test_release_returns_native_memory(spark):
+    """Free blocks between used ones stay resident until the allocators of the driver's two processes are told to give them back."""
+    held = lambda pid: sum(int(x.split()[1]) for x in open(f"/proc/{pid}/smaps_rollup") if x.startswith("Anonymous:")) / 1024
+    jvm = spark.sparkContext._jvm
+    java = jvm.java.lang.ProcessHandle.current().pid()
+    buffers, some = jvm.java.util.ArrayList(), jvm.java.util.ArrayList()
+    blocks = [b"x" * 60_000 for _ in range(2000)]
+    for i in range(2000):
+        buffers.add(jvm.java.nio.ByteBuffer.allocateDirect(60_000))
+        if i % 50 == 0:
+            some.add(buffers.get(i))
+    del buffers
+    blocks = blocks[::50]
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = held(java), held(os.getpid())
+    release(spark)
+    after = held(java), held(os.getpid())
+    assert before[0] - after[0] > 60 and before[1] - after[1] > 60 and some.size() == len(blocks)

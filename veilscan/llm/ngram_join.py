@@ -294,6 +294,7 @@ class JaccardJoin:
             slots[[w * 32 + i for i in range(32) if m >> i & 1]] = True
         # the filter lets a few more through; the joins drop them
         sets = cut(self.docs.mapInArrow(_holds(slots), "id long, m long, shingles binary"))
+        release(self.spark)
         side = lambda key, v: sets.select(F.col("id").alias(key), F.col("m").alias(f"m{v}"), F.col("shingles").alias(v))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "mx", "y", "my").mapInArrow(_verify(self.percent), "a long, b long")
 
@@ -345,6 +346,7 @@ class JaccardJoin:
         near = f"{100 + self.percent} * ({near}) <= {100 - self.percent} * ((np1 >> 32) + (np2 >> 32))"  # of groups with one member
         pairs = left.join(right, ["t", "u", "v", "w"]).where(f"(many1 or many2 or {near}) and (u < v or band1 < band2 or gid1 < gid2) and gid1 <> gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").where(_filter_sql(self.percent, "np1", "np2"))
         pairs = cut(pairs.select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h")).distinct())
+        release(self.spark)
         # expand groups to members; inside a group of several components, its members meet too
         inner = spans.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
         pairs = pairs.union(inner)
@@ -358,6 +360,7 @@ class JaccardJoin:
         more = self._linked(wide, classes)
 
         whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        release(self.spark)
         named = classes.select("sig", "cid").join(whole.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.coalesce("component", "cid").alias("component"))
         # documents without words take no part in the join: their null would be one key
         seated = rows.where("sig is not null").join(named, "sig", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
