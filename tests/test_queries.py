@@ -43,6 +43,17 @@ def test_auth_tokens_are_those_of_the_sql(spark, tmp_path):
     assert got == _rows(con.execute(ORACLE_SQL["doc_auth_tokens"]).df()) and len(got) == 4
 
 
+def test_scan_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    from veilscan.plans import corpus
+
+    spark.range(2000).selectExpr("id as o_orderkey", "'2-HIGH' as o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(s, "ROWS_A_TASK", 100, raising=False)
+    for more in ({}, {"ordered": True}):
+        tasks = [len(x) for x in corpus.sources(spark, str(tmp_path), **more).select("source_key").rdd.glom().collect()]
+        assert len(tasks) == 20 and sum(tasks) == 2000 and max(tasks) <= 200
+    assert [r.source_key for r in corpus.sources(spark, str(tmp_path), True).collect()] == list(range(2000))
+
+
 def _entries(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     return s.scan(s.sources(rows, "k", "t", "k"))

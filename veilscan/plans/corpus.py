@@ -24,8 +24,8 @@ TEXT = f"""concat('# order ', cast(o_orderkey as varchar(20)), ' café', chr(10)
  else concat('password_hash=', {_H}, chr(13), chr(10), 'next ghp_', {_H}) end, chr(10))"""
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority"))
+def sources(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority"), *["o_orderkey"] * ordered)
     return orders.select(F.col("o_orderkey").alias("source_key"), F.col("o_orderkey").cast("long").alias("ordinal"), F.expr(TEXT).alias("text"))
 
 
