@@ -96,3 +96,45 @@ def test_cli(tmp_path, capsys):
     out_dir = str(tmp_path / "b")
     assert main(["bundle", "template", "--output-dir", out_dir, path]) == 0 and sorted(os.listdir(out_dir)) == ["manifest.json", "sources"]
     assert main(["bundle", "template", "--output-dir", out_dir, path]) == 1
+
+
+def test_digests_of_many_messages():
+    from veilscan.kernel.blake3 import digests
+
+    data = bytes(i % 251 for i in range(3000))
+    messages = [bytes([k]) + data[:n] for n in (0, 1, 62, 63, 64, 126, 127, 500, 1022, 1023, 1024, 2999) for k in range(20)] + [b""]
+    for size in (8, 32, 64, 130):
+        for key in (None, KEY):
+            assert digests(messages, size, key) == {m: digest(m, size, key) for m in messages}
+
+
+@pytest.mark.parametrize("mode", ["pseudonymize", "synthesize"])
+def test_keyed_modes_make_a_batch_of_digests_together(mode, spark, monkeypatch):
+    values = [f"é password = {'x' * (k % 90)}hunter{k}hunter" for k in range(200)]
+    spans = [[(len("é password = ".encode()), len(v.encode()), "generic.password-field")] for v in values]
+    share = t.ShareMode(mode, {"key": KEY})
+    single = [share.apply(v, s) for v, s in zip(values, spans)]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, t string").coalesce(1)
+    got = op.keyed(s.scan(s.sources(rows, "k", "t", "k"), keep_text=True), share).orderBy("ordinal").collect()
+    found = default_scanner()
+    assert [r.content for r in got] == [share.apply(v, [(len(v[:m.start].encode()), len(v[:m.end].encode()), found.rules[m.rule].id) for m in found.findings(v)]) for v in values]
+    known = share.known(values, spans)
+    monkeypatch.setattr(t, "digest", None)  # nothing is left to be made one by one
+    assert [share.apply(v, x, known) for v, x in zip(values, spans)] == single
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_bundle_scans_its_sources_once(spark, ordered):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, "password = hunter2hunter2") for k in range(300)], "k long, t string").repartition(3)
+    rows = rows.repartitionByRange(3, "k").sortWithinPartitions("k") if ordered else rows
+    entries = s.scan(s.sources(rows, "k", "t", "k").mapInArrow(count, "source_key long, ordinal long, text string"), keep_text=True)
+    got = op.bundle(entries, t.ShareMode("redact"), **({"ordered": True} if ordered else {}))[0].collect()
+    assert [r.key for r in got] == list(range(300)) and got[0].content == "password = [REDACTED]"
+    assert seen.value == 300

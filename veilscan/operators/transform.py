@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel.transforms import NAMESPACE, ShareMode, TransformError, component
+from ..session import partitions
 from .query import summary
 
 _SORTED = "array_sort(transform(findings, f -> struct(f.location.start as s, f.location.end as e, f.rule_id as r)))"
@@ -84,9 +86,14 @@ def keyed(entries: DataFrame, mode: ShareMode, strict: bool = False) -> DataFram
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             out, errors = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            texts, column = batch.column("text").to_pylist(), batch.column("spans")
+            flat = column.flatten()
+            each = zip(*(flat.field(k).to_pylist() for k in ("s", "e", "r")))
+            spans = [list(islice(each, n or 0)) for n in column.value_lengths().to_pylist()]
+            known = mode.known(texts, spans)
+            for text, found in zip(texts, spans):
                 try:
-                    out.append(mode.apply(text, [(x["s"], x["e"], x["r"]) for x in found]))
+                    out.append(mode.apply(text, found, known) if found else text)
                     errors.append(None)
                 except TransformError as e:
                     if strict:
@@ -112,11 +119,19 @@ def apply_mode(entries: DataFrame, mode: ShareMode, strict: bool = True) -> Data
     return native[mode.kind](entries, strict=strict, **mode.options) if mode.kind in native else keyed(entries, mode, strict)
 
 
-def bundle(entries: DataFrame, mode: ShareMode, generated_at: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sources(key, content), one-row manifest(mode, summary, generated_at)) of one scan; any row that fails, fails the bundle."""
+def bundle(entries: DataFrame, mode: ShareMode, generated_at: datetime | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sources(key, content), one-row manifest(mode, summary, generated_at)) of one scan; any row that fails, fails the bundle.
+
+    Sources come by ordinal, then key. ``ordered``: entries already do, as a
+    scan keeps the order of what it reads; that is the cheaper way, since only
+    narrow rows are moved. Else the texts are dealt out before the sort, so
+    that its bounds are sampled from them and not by a second scan.
+    """
     wrong = F.octet_length("text") != F.col("source_bytes")
     checked = entries.withColumn("text", F.when(wrong, F.raise_error(F.lit("source_mismatch")).cast("string")).otherwise(F.col("text")))
-    srcs = apply_mode(checked, mode).orderBy("ordinal", "source_key").select(F.col("source_key").alias("key"), "content")
+    srcs = apply_mode(checked, mode)
+    srcs = srcs if ordered else srcs.repartition(partitions(srcs)).orderBy("ordinal", "source_key")
+    srcs = srcs.select(F.col("source_key").alias("key"), "content")
     at = F.lit(generated_at).cast("timestamp") if generated_at else F.current_timestamp()
     manifest = summary(entries).select(F.lit(mode.kind).alias("mode"), F.struct("*").alias("summary"), at.alias("generated_at"))
     return srcs, manifest
