@@ -6,7 +6,6 @@ counterpart here.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +18,7 @@ from ..session import partitions
 
 LAST_REVISION = (1 << 64) - 1
 STATUSES = ("applied", "not_active", "stale_revision", "invalid_range", "invalid_utf8_boundary", "revision_overflow", "candidate_limit_exceeded", "cache_limit_exceeded", "result_limit_exceeded", "transaction_storage_limit_exceeded", "unknown_document", "duplicate_document")
-RESULT = "doc_id string, seq long, status string, active boolean, revision long, source_bytes long, report string"
+RESULT = "doc_id string, seq long, status string, active boolean, revision long, source_bytes long, report string, findings long, candidates long"
 
 
 @dataclass(frozen=True)
@@ -45,26 +44,47 @@ class Document:
 
     def __post_init__(self) -> None:
         self.data = self.text.encode()
-        error, self.report = self._scan(self.text)
+        error, result = self._scan(self.text, len(self.data))
         if error:
             raise ValueError(error)
+        self._set(self.text, result)
 
-    def _scan(self, text: str) -> tuple[str | None, dict]:
+    def _set(self, text: str, result: tuple) -> None:
+        """The last report is kept as what it is made of, and written when asked for."""
+        self._reported, self._json = (text, *result), None
+
+    @property
+    def report(self) -> dict:
+        found, review = self.scanner.rows(*self._reported)
+        return {"findings": found, "candidates": review}
+
+    @property
+    def counts(self) -> tuple[int, int]:
+        """Findings and candidates of the report."""
+        return len(self._reported[1]), len(self._reported[2])
+
+    @property
+    def report_json(self) -> str:
+        if self._json is None:
+            self._json = self.scanner.report_json(*self._reported)
+        return self._json
+
+    def _scan(self, text: str, size: int) -> tuple[str | None, tuple]:
         lim = self.limits
-        if lim.max_transaction_storage_bytes is not None and len(text.encode()) + len(self.data) > lim.max_transaction_storage_bytes:
-            return "transaction_storage_limit_exceeded", {}
+        if lim.max_transaction_storage_bytes is not None and size + len(self.data) > lim.max_transaction_storage_bytes:
+            return "transaction_storage_limit_exceeded", ()
         raw = list(self.scanner.plan.raw(text))
         if lim.max_candidates is not None and len(raw) > lim.max_candidates:
-            return "candidate_limit_exceeded", {}
-        held = len(raw) + sum(1 for _ in review_spans(text))
+            return "candidate_limit_exceeded", ()
+        codes = list(review_spans(text))
+        held = len(raw) + len(codes)
         if lim.max_retained_cache_records is not None and held + self.records > lim.max_retained_cache_records:
-            return "cache_limit_exceeded", {}
-        found, spans = self.scanner.both(text, matches=self.scanner.matches(text, raw))
-        found, review = self.scanner.rows(text, found, spans)
-        if lim.max_materialized_results is not None and len(found) + len(review) > lim.max_materialized_results:
-            return "result_limit_exceeded", {}
+            return "cache_limit_exceeded", ()
+        found, spans = self.scanner.both(text, matches=self.scanner.matches(text, raw), codes=codes)
+        if lim.max_materialized_results is not None and len(found) + len(spans) > lim.max_materialized_results:
+            return "result_limit_exceeded", ()
         self.records = held
-        return None, {"findings": found, "candidates": review}
+        return None, (found, spans)
 
     def apply_edit(self, expected_revision: int, start: int, end: int, replacement: str) -> str:
         """Replaces bytes start to end; the status: applied, or the first error in a fixed order."""
@@ -80,12 +100,14 @@ class Document:
             return "invalid_utf8_boundary"
         if self.revision >= LAST_REVISION:
             return "revision_overflow"
-        changed = (data[:start] + replacement.encode() + data[end:]).decode()
-        error, report = self._scan(changed)
+        data = data[:start] + replacement.encode() + data[end:]
+        changed = data.decode()
+        error, result = self._scan(changed, len(data))
         if error:
             self.active = False
             return error
-        self.text, self.data, self.report, self.revision = changed, changed.encode(), report, self.revision + 1
+        self.text, self.data, self.revision = changed, data, self.revision + 1
+        self._set(changed, result)
         return "applied"
 
 
@@ -105,20 +127,21 @@ def apply_edits(documents: DataFrame, edits: DataFrame, scanner: Scanner | None
         doc, name, first = None, None, True
         for batch in frames:
             out = []
-            for r in batch.to_pylist():
-                if first or r["doc_id"] != name:
-                    doc, name, first = None, r["doc_id"], False
-                if r["is_edit"] and doc is None:
-                    out.append((name, r["seq"], "unknown_document", False, None, None, None))
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "seq", "expected_revision", "start", "end", "body", "is_edit"))
+            for key, seq, revision, start, end, body, is_edit in zip(*columns):
+                if first or key != name:
+                    doc, name, first = None, key, False
+                if is_edit and doc is None:
+                    out.append((name, seq, "unknown_document", False, None, None, None, None, None))
                     continue
-                if r["is_edit"]:
-                    status = doc.apply_edit(r["expected_revision"], r["start"], r["end"], r["body"])
+                if is_edit:
+                    status = doc.apply_edit(revision, start, end, body)
                 elif doc is None:
-                    doc, status = Document(scanner, r["body"], limits), "opened"
+                    doc, status = Document(scanner, body, limits), "opened"
                 else:
                     status = "duplicate_document"
-                out.append((name, r["seq"] if r["is_edit"] else -1, status, doc.active, doc.revision, len(doc.data), json.dumps(doc.report)))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
+                out.append((name, seq if is_edit else -1, status, doc.active, doc.revision, len(doc.data), doc.report_json, *doc.counts))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
 
     return left.unionByName(right).repartition(partitions(left), "doc_id").sortWithinPartitions("doc_id", "is_edit", "seq", "body").mapInArrow(run, RESULT)
